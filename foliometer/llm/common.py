@@ -164,7 +164,7 @@ class SortedFiles:
             there[a:b] = hit
             for k, values in enumerate(arrays[1:]):
                 if out[k] is None:
-                    out[k] = np.full(len(keys), fill[k], dtype=values.dtype)
+                    out[k] = np.full(len(keys), fill[k], dtype=np.int64 if values.dtype.kind in "iu" else values.dtype)
                 out[k][a:b][hit] = values[at[hit]]
         return [there, *(np.full(len(keys), fill[k]) if x is None else x for k, x in enumerate(out))]
 

@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import simhash, substrings
+from . import decontaminate, kneser_ney, packing, shards, simhash, substrings, vafile
 
 QUERIES = {
+    "op1_nnls_packing": packing.op1,
+    "op2_hash_tree": shards.op2,
+    "op5_va_file": vafile.op5,
+    "op7_kneser_ney": kneser_ney.op7,
     "op8_recompression": substrings.op8,
+    "op9_ngram_decontamination": decontaminate.op9,
     "op10_popcount_simhash": simhash.op10,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_va_file": vafile.OP5_SQL,
+    "op9_ngram_decontamination": decontaminate.OP9_SQL,
+}
