@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontaminate, kneser_ney, packing, shards, simhash, substrings, vafile
+from . import decontaminate, kneser_ney, packing, shards, simhash, substrings, vafile, warc
 
 QUERIES = {
     "op1_nnls_packing": packing.op1,
     "op2_hash_tree": shards.op2,
+    "op4_warc_dictionary": warc.op4,
     "op5_va_file": vafile.op5,
     "op7_kneser_ney": kneser_ney.op7,
     "op8_recompression": substrings.op8,
