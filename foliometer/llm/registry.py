@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import decontaminate, kneser_ney, packing, shards, simhash, substrings, vafile, warc
+from . import decontaminate, kneser_ney, licenses, packing, shards, simhash, substrings, toxicity, vafile, warc
 
 QUERIES = {
     "op1_nnls_packing": packing.op1,
     "op2_hash_tree": shards.op2,
+    "op3_minhash_licenses": licenses.op3,
     "op4_warc_dictionary": warc.op4,
     "op5_va_file": vafile.op5,
+    "op6_classifier_chain": toxicity.op6,
     "op7_kneser_ney": kneser_ney.op7,
     "op8_recompression": substrings.op8,
     "op9_ngram_decontamination": decontaminate.op9,
