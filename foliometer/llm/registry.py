@@ -21,3 +21,12 @@ ORACLE_SQL: dict[str, str] = {
     "op5_va_file": vafile.OP5_SQL,
     "op9_ngram_decontamination": decontaminate.OP9_SQL,
 }
+
+
+def pipeline(spark, sf_dir: str):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+QUERIES["pipeline"] = pipeline
