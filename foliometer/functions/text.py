@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .kernels import common_length, edit_distance
 
@@ -28,12 +29,12 @@ FOLD_GONE = "\u2022\uf0b7"
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x if x.isascii() else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def casefold(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else x.casefold())
 
@@ -94,17 +95,17 @@ def fmt3(c: Column) -> Column:
     return F.when(c.isNull(), "—").otherwise(F.format_string("%.3f", c))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def char_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([edit_distance(x.split(), y.split()) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def common_chars(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(x) if x == y else common_length(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 class _Rows(HTMLParser):
@@ -57,7 +58,7 @@ def cells_of(html: str | None) -> list[dict] | None:
     return out
 
 
-CELLS = "array<struct<row:int,col:int,rowspan:int,colspan:int,text:string,is_header:boolean>>"
+CELLS = T.ArrayType(T.StructType([*(T.StructField(n, T.IntegerType()) for n in ("row", "col", "rowspan", "colspan")), T.StructField("text", T.StringType()), T.StructField("is_header", T.BooleanType())]))
 
 
 @F.pandas_udf(CELLS)
