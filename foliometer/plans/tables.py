@@ -188,9 +188,8 @@ Q["gap_group"] = (
 )
 Q["blob_filters"] = (lambda s, sf: read(s, sf, "lineitem").where(chart.blob_passes(F.col("l_quantity") * 20, 8 + F.col("l_linenumber") * 4, 12 + F.col("l_linenumber") * 2)).select("l_orderkey", "l_linenumber", "l_quantity"), "SELECT l_orderkey, l_linenumber, l_quantity FROM (SELECT *, l_quantity * 20 AS a, 8 + l_linenumber * 4 AS w, 12 + l_linenumber * 2 AS h FROM lineitem) WHERE a >= 150 AND least(w, h) >= 10 AND a / (w * h) >= 0.62 AND w / h >= 0.55 AND w / h <= 1.8")
 PALETTE = {"red": (200, 40, 40), "green": (40, 160, 60), "blue": (40, 80, 200)}
-_RGB = [F.col("p_partkey") * 7 % 256, F.col("p_partkey") * 13 % 256, F.col("p_partkey") * 29 % 256]
 Q["nearest_class"] = (
-    lambda s, sf: read(s, sf, "part").select("p_partkey", chart.nearest_class(tuple(_RGB), PALETTE).alias("class")),
+    lambda s, sf: read(s, sf, "part").select("p_partkey", chart.nearest_class(tuple(F.col("p_partkey") * k % 256 for k in (7, 13, 29)), PALETTE).alias("class")),
     "SELECT p_partkey, class FROM (SELECT p_partkey, n AS class, row_number() OVER (PARTITION BY p_partkey ORDER BY (p_partkey * 7 % 256 - r) ** 2 + (p_partkey * 13 % 256 - g) ** 2 + (p_partkey * 29 % 256 - b) ** 2, i) AS k FROM part, (VALUES (0, 'red', 200, 40, 40), (1, 'green', 40, 160, 60), (2, 'blue', 40, 80, 200)) AS p(i, n, r, g, b)) WHERE k = 1",
 )
 Q["axis_percent"] = (lambda s, sf: read(s, sf, "part").select("p_partkey", F.round(chart.axis_percent(F.col("p_partkey") % 640, F.lit(40.0), F.lit(600.0), 0.0, 100.0), 6).alias("pct"), (~(F.col("p_partkey") % 640).between(40, 600)).alias("clipped")), "SELECT p_partkey, round((p_partkey % 640 - 40.0::DOUBLE) * 100 / 560, 6) AS pct, NOT (p_partkey % 640 BETWEEN 40 AND 600) AS clipped FROM part")
