@@ -18,7 +18,9 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_warc_dictionary": warc.OP4_SQL,
     "op5_va_file": vafile.OP5_SQL,
+    "op8_recompression": substrings.OP8_SQL,
     "op9_ngram_decontamination": decontaminate.OP9_SQL,
 }
 

@@ -229,3 +229,17 @@ def remove_repeats(docs: DataFrame, window: int = 20, rounds: int = 4, keep_text
 
 def op8(spark, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), keep_text=False)
+
+
+OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), win AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 19], ' ')) AS g FROM d, unnest(range(1, len(w) - 18)) AS t(i) WHERE len(w) >= 20
+), later AS (SELECT doc_id, i FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id, i) AS k FROM win) WHERE k > 1
+), gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS p FROM later
+), words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS p FROM d
+), kept AS (
+  SELECT w.doc_id, count(g.p) AS n_removed, string_agg(x, ' ' ORDER BY w.p) FILTER (g.p IS NULL) AS t
+  FROM words w LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.p = w.p GROUP BY 1
+)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (doc_id)
+"""

@@ -230,3 +230,13 @@ def read_archives(manifest: DataFrame, keep_payload: bool = False) -> DataFrame:
 
 def op4(spark, sf_dir: str) -> DataFrame:
     return read_archives(write_archives(table(spark, sf_dir, "pages")))
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS b, sha1(coalesce(html, '')) AS h FROM pages),
+q AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS best FROM p)
+SELECT page_id, b::BIGINT AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((('0x' || substr(h, 5 * (i // 4) + 1, 5))::BIGINT >> (15 - 5 * (i % 4))) & 31) + 1, 1)), '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> best THEN best END AS refers_to
+FROM q
+"""
