@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time; a longer text is a slice by itself.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -30,7 +30,7 @@ ALNUM[0x80:] = True
 
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 _C1, _C2, _C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
-_BASE = np.uint64(0xD6E8FEB86659FD93)
+BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,6 +99,12 @@ class Words:
             self._hash = h
         return self._hash
 
+    def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """The words of more than `size` bytes (at most 8), and a hash of the first `size` of each."""
+        at = np.flatnonzero(self.end - self.start > size)
+        at8 = np.ndarray(shape=(self.size + 8,), dtype="<u8", buffer=self._padded, strides=(1,))
+        return at, mix((at8[self.start[at]] & _MASK[size]) ^ (np.uint64(size) * _C3))
+
     @property
     def counts(self) -> np.ndarray:
         """Number of words of each text."""
@@ -127,7 +133,7 @@ def windows(h: np.ndarray, k: int, mixed: bool = True) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, dtype=np.uint64)
-    out, have, power, at, factor = None, 0, h, 1, _BASE
+    out, have, power, at, factor = None, 0, h, 1, BASE
     with np.errstate(over="ignore"):
         while True:  # binary doubling: power holds the hash of runs of `at`
             if k & at:
