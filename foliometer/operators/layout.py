@@ -70,3 +70,15 @@ def insert_by_top(body: DataFrame, extra: DataFrame, keys: Sequence[str]) -> Dat
 
     sides = [x.select(*keys, "ix", "y0").groupBy(*keys) for x in (body, extra)]
     return sides[0].cogroup(sides[1]).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", source string, ix long, position long")
+
+
+def row_clusters(boxes: DataFrame, keys: Sequence[str], y: str, rest: Sequence[str], slack: float) -> DataFrame:
+    """boxes with the number of the row each is in: a row is open for those less than slack below its first.
+
+    A row's first decides, not the one before, so this folds over the page's sorted tops: distinct ones, in one array.
+    """
+    tops = boxes.groupBy(*keys).agg(F.array_sort(F.collect_set(y)).alias("ys"))
+    start = F.array().cast("array<double>")
+    firsts = F.aggregate("ys", start, lambda acc, v: F.when((F.size(acc) == 0) | (v - F.element_at(acc, -1) >= slack), F.concat(acc, F.array(v))).otherwise(acc))
+    rows = tops.select(*keys, firsts.alias("firsts"))
+    return boxes.join(rows, [*keys]).withColumn("cluster", (F.size(F.filter("firsts", lambda v: v <= F.col(y))) - 1).cast("long")).drop("firsts")

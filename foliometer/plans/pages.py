@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import adapters, alignment, grid, quality, tracks
+from ..operators import adapters, alignment, grid, layout, quality, tracks
 from ..sources import ir
 from .fixtures import BLOCKS, CELLS, coarse, gold_blocks, gold_cells, read
-from .texts import PAIRS, ascii_pairs
+from .texts import ascii_pairs
 
 Q: dict[str, tuple] = {}
 TRACKS = ["furniture", "structure", "text"]
@@ -184,3 +184,18 @@ Q["sim_matrix"] = (
     None,
 )
 Q["nw_align"] = (lambda s, sf: alignment.align_lines(*[grid.line_texts(grid.expand_grid(gold_cells(s, sf).where(c), ["table_id"]), ["table_id"], "r").select("table_id", F.col("r").cast("long").alias("ix"), F.col("line_text").alias("norm")) for c in ("true", "row <> 2")], ["table_id"]), None)
+
+
+def calibration_checks(s, sf) -> DataFrame:
+    """check, passed: what the degradations have to do to the scores, one row for each claim."""
+    wide = scores(s, sf).groupBy("run").pivot("track", TRACKS).agg(F.avg("score"))
+    claims = {"text_only keeps text": (F.col("run") == "text_only") & (F.abs(F.col("text") - 1) < 1e-9), "text_only loses structure": (F.col("run") == "text_only") & (F.col("structure") < 1), "noisy_text lowers text": (F.col("run") == "noisy_text") & (F.col("text") > 0.9) & (F.col("text") < 0.99), "noisy_text keeps structure": (F.col("run") == "noisy_text") & (F.abs(F.col("structure") - 1) < 1e-9)}
+    return wide.agg(*[F.max(c).alias(n) for n, c in claims.items()]).select(F.inline(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("passed")) for n in claims])))
+
+
+Q["calibration_checks"] = (calibration_checks, "SELECT unnest(['text_only keeps text', 'text_only loses structure', 'noisy_text lowers text', 'noisy_text keeps structure']) AS \"check\", true AS passed")
+Q["convert_page"] = (
+    lambda s, sf: adapters.convert_blocks(nested(s, sf), ["doc_id"], "para_blocks").withColumn("side", F.lit("body")).unionByName(adapters.convert_blocks(nested(s, sf), ["doc_id"], "discarded_blocks", furniture=True).withColumn("side", F.lit("extra"))).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.count(F.when(F.col("side") == "extra", 1)).alias("n_furniture")),
+    f"""WITH {_RAW} SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (type = 'footer') AS n_furniture FROM raw WHERE type = 'figure' OR trim(coalesce(halves, '')) <> '' GROUP BY 1""",
+)
+Q["row_cluster"] = (lambda s, sf: layout.row_clusters(gold_blocks(s, sf), ["doc_id"], "y0", ["x0"], 4.0).groupBy("doc_id", "cluster").agg(F.count("*").alias("n")), f"WITH {BLOCKS} SELECT doc_id, dense_rank() OVER (PARTITION BY doc_id ORDER BY y0) - 1 AS cluster, count(*) AS n FROM gold_blocks GROUP BY doc_id, y0")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import chart, degrade, grid, html_table, layout, sets
+from ..operators import alignment, chart, degrade, grid, html_table, layout, sets
 from .fixtures import BLOCKS, CELLS, CHARTS, charts, gold_blocks, gold_cells, read
 
 KEY = ["table_id"]
@@ -209,3 +209,24 @@ Q["char_coverage"] = (
     lambda s, sf: sets.bag_difference(*[gold_blocks(s, sf).where("text IS NOT NULL" + more).select("doc_id", F.explode(F.split(t.norm_chars(F.col("text")), "")).alias("ch")).where("ch <> ''") for more in ("", " AND type <> 'footer'")], ["doc_id"], "ch"),
     f"WITH {BLOCKS} SELECT doc_id, ch, count(*) AS dropped, 0::BIGINT AS invented FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\s', '', 'g'), '')) AS ch FROM gold_blocks WHERE type = 'footer') WHERE ch <> '' GROUP BY 1, 2",
 )
+
+
+def table_score(s, sf):
+    """table_id, con, top, header_f1, combined of tables without their cells of no value."""
+    g, p = gold_cells(s, sf), _pred(s, sf)
+    header = sets.bag_f1(g.where("is_header"), p.where("is_header"), KEY, ["text", "rowspan", "colspan"]).select("table_id", F.col("f1").alias("header_f1"))
+    out = grid.grits(g, p, KEY).join(header, KEY)
+    return out.withColumn("combined", 0.5 * F.col("grits_con") + 0.25 * F.col("grits_top") + 0.25 * F.col("header_f1"))
+
+
+Q["table_score"] = (table_score, None)
+Q["grits_identity_alignment"] = (lambda s, sf: grid.grits(gold_cells(s, sf), gold_cells(s, sf), KEY), "SELECT DISTINCT l_orderkey AS table_id, 1.0::DOUBLE AS grits_con, 1.0::DOUBLE AS grits_top FROM lineitem")
+
+
+def table_pairing(s, sf):
+    """Tables of a page of four, paired by their text; every table finds a partner."""
+    side = lambda cells: grid.tsv(cells, KEY).select(F.expr("table_id div 4").alias("page"), F.col("table_id").alias("ix"), t.normalize(F.col("tsv")).alias("norm"))
+    return alignment.assign_blocks(side(gold_cells(s, sf)), side(_pred(s, sf)), ["page"], threshold=0.0)
+
+
+Q["table_pairing"] = (table_pairing, None)
