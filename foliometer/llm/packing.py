@@ -15,9 +15,10 @@ document fill sequences alone; what is left of each, its tail, is packed:
    cut at powers of two. So no sequence has padding: each holds `window` ids or a
    power of two.
 
-Only the histogram (at most units rows) reaches the driver, and the plan (at most
-units x depth rows) is broadcast. Ranks and positions are running sums over hash
-buckets, so no length, however common, meets in one task. Token ids are written once
+Only the histogram (at most units rows) reaches the driver. The plan (at most units x
+depth rows) is broadcast, and so are the shifts of the running sums (at most units x
+`most_buckets` rows, some megabytes at any size of input). Ranks and positions are
+running sums over hash buckets, so no length, however common, meets in one task. Token ids are written once
 and joined once with their pieces.
 
 Nulls and ties: a null text is empty and yields its end id; a null doc_id stays.
@@ -197,7 +198,7 @@ def plan(histogram: dict[int, int], units: int, depth: int) -> tuple[list[tuple[
     return rows, sequences
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, units: int = 128, depth: int = 3, keep_ids: bool = False, bucket_rows: int = 200_000) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, units: int = 128, depth: int = 3, keep_ids: bool = False, bucket_rows: int = 5_000, most_buckets: int = 1024) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (32-bit)."""
     spark = docs.sparkSession
     if window % units or window & (window - 1):
@@ -206,7 +207,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4
     tokens = tokenized(docs, tokenizer, end_id)
     lengths = tokens.select("row_id", "n")
     rows, whole = lengths.agg(F.count("*"), F.sum(F.floor(F.col("n") / window))).first()
-    whole, buckets = whole or 0, parts(rows, bucket_rows)
+    whole, buckets = whole or 0, min(most_buckets, parts(rows, bucket_rows))
     full = running(lengths, [], ["row_id"], F.expr(f"n div {window}"), "first", buckets).where(f"n >= {window}")
     full = full.select("row_id", F.posexplode(F.expr(f"sequence(0L, n div {window} - 1)")).alias("k", "at"), "first")
     full = full.select("row_id", (F.col("at") * window).alias("start"), F.lit(window).cast("long").alias("length"), (F.col("first") + F.col("at")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
