@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 import tempfile
@@ -64,6 +65,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Let Arrow batches of this session hold at most so many rows: of long texts, the default of 10,000 is no bound."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, str(rows))
+
+
+def trim() -> None:
+    """Give freed memory of this worker back to the system, where its C library can."""
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def text_bytes(df: DataFrame, column: str = "text") -> int:
     """UTF-8 bytes of a column over all rows."""
     return df.agg(F.sum(F.octet_length(column))).first()[0] or 0
@@ -115,11 +130,31 @@ def mapped(path: str) -> np.ndarray:
     return array if len(array) else np.load(path)
 
 
+class Narrow:
+    """Whole numbers, most of them under 255, a byte each; where the larger ones stand, and what they are."""
+
+    dtype = np.dtype(np.int64)
+
+    def __init__(self, low: np.ndarray, place: np.ndarray, value: np.ndarray) -> None:
+        self.low, self.place, self.value = low, place, value
+
+    def __len__(self) -> int:
+        return len(self.low)
+
+    def __getitem__(self, at: np.ndarray | slice) -> np.ndarray:
+        out = self.low[at].astype(np.int64)
+        large = np.flatnonzero(out == 255)
+        if len(large):
+            where = (np.arange(*at.indices(len(self.low))) if isinstance(at, slice) else at)[large]
+            out[large] = self.value[np.searchsorted(self.place, where)]
+        return out
+
+
 class SortedFiles:
-    """Sorted arrays of 64-bit keys, one set of files for each range of keys, mapped and not read."""
+    """Sorted arrays of 64-bit keys, one set of files for each range of keys, mapped and not read. Columns named narrow are counts."""
 
-    def __init__(self, folder: str, name: str, buckets: int, columns: Sequence[str]) -> None:
-        self.folder, self.name, self.buckets, self.columns = folder, name, buckets, tuple(columns)
+    def __init__(self, folder: str, name: str, buckets: int, columns: Sequence[str], narrow: Sequence[str] = ()) -> None:
+        self.folder, self.name, self.buckets, self.columns, self.narrow = folder, name, buckets, tuple(columns), frozenset(narrow)
         self._open: dict[int, list[np.ndarray]] = {}
 
     def __getstate__(self):
@@ -130,15 +165,37 @@ class SortedFiles:
 
     def write(self, bucket: int, **columns: np.ndarray) -> None:
         for column in self.columns:
-            save(self.path(bucket, column), columns[column])
+            array = columns[column]
+            if column in self.narrow:
+                large = np.flatnonzero(array >= 255)
+                save(self.path(bucket, f"{column}-place"), large)
+                save(self.path(bucket, f"{column}-value"), array[large].astype(np.int64))
+                array = np.minimum(array, 255).astype(np.uint8)
+            save(self.path(bucket, column), array)
+
+    def _load(self, bucket: int) -> list[np.ndarray | Narrow]:
+        if not os.path.exists(self.path(bucket, self.columns[-1])):
+            return []
+        arrays = {c: mapped(self.path(bucket, c)) for c in self.columns}
+        return [Narrow(a, *(mapped(self.path(bucket, f"{c}-{x}")) for x in ("place", "value"))) if c in self.narrow else a for c, a in arrays.items()]
 
     def _arrays(self, bucket: int) -> list[np.ndarray]:
         if bucket not in self._open:
             if len(self._open) > 512:  # open files, not rows: those closed are opened again
                 self._open.clear()
-            self._open[bucket] = [mapped(self.path(bucket, c)) for c in self.columns] if os.path.exists(self.path(bucket, self.columns[-1])) else []
+            self._open[bucket] = self._load(bucket)
         return self._open[bucket]
 
+    def part(self, source: int, bucket: int) -> list[np.ndarray]:
+        """The rows of one set of files whose keys are in a range of the keys; for files that are each sorted but not split by range."""
+        arrays = self._load(source)
+        if not arrays:
+            return []
+        width = -(-(1 << 64) // self.buckets)
+        a = int(np.searchsorted(arrays[0], np.uint64(bucket * width)))
+        b = len(arrays[0]) if bucket == self.buckets - 1 else int(np.searchsorted(arrays[0], np.uint64((bucket + 1) * width)))
+        return [np.array(x[a:b]) for x in arrays]
+
     def find(self, keys: np.ndarray, fill: Sequence[int | float], check: np.ndarray | None = None) -> list[np.ndarray]:
         """For sorted keys, whether each is there, and its other columns (where not: fill).
 

@@ -15,7 +15,8 @@ Counting. Each task reduces its texts to sorted n-grams with counts, split by ra
 of their hash; a range is merged in one task, which writes the level's sorted
 arrays (`SortedFiles`) and passes on, for the level below, its distinct suffixes and
 contexts. The number of ranges follows the input's size, and as a task holds one
-entry for each distinct n-gram a hot word or text makes no range larger. The
+entry for each distinct n-gram a hot word or text makes no range larger. What is
+passed on stays in sorted files as well, of which each range below maps its slice. The
 files lie in the shared folder, are mapped, and are asked in the order of their
 keys. The driver gets counts of counts only.
 
@@ -33,9 +34,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from .common import SortedFiles, bucket_edges, mapped_dir, pack, parts, release, table, text_bytes, unpack, written
-from .words import SPACED, Words, mix, slices, windows
+from .common import SortedFiles, bucket_edges, mapped_dir, pack, parts, release, small_batches, table, text_bytes, trim, unpack
+from .words import BASE, SPACED, Words, mix, slices, windows
 
 START, END = np.uint64(0x5BD1E9955BD1E995), np.uint64(0x1B873593CC9E2D51)
 
@@ -61,8 +63,11 @@ def gram_keys(grams: list[np.ndarray]) -> np.ndarray:
     """The hash of n-grams given as columns of words; equal to windows() over a text."""
     if len(grams) == 1:
         return grams[0]
-    stacked = np.stack(grams, axis=1).reshape(-1)
-    return windows(stacked, len(grams))[:: len(grams)]
+    out = grams[0].copy()
+    for words in grams[1:]:
+        out *= BASE
+        out += words
+    return mix(out)
 
 
 def _sum(keys: np.ndarray, columns: list[np.ndarray], sums: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
@@ -79,8 +84,10 @@ class Model:
     def __init__(self, folder: str, order: int, buckets: int) -> None:
         self.order, self.buckets = order, buckets
         context = ["total", "n1", "n2", "n3"]
-        self.levels = {m: SortedFiles(folder, f"level{m}", buckets, ["key", "count", *(context if m < order else [])]) for m in range(2, order + 1)}
-        self.levels[1] = SortedFiles(folder, "level1", buckets, ["key", "raw", "count", *(context if order > 1 else [])])
+        self.levels = {}
+        for m in range(1, order + 1):
+            counts = [*(["raw"] if m == 1 else []), "count", *(context if m < order else [])]
+            self.levels[m] = SortedFiles(folder, f"level{m}", buckets, ["key", *counts], counts)
         self.discounts: dict[int, np.ndarray] = {}
         self.tokens = self.types = 0
         self.unigram_total = self.unigram_mass = 0.0
@@ -140,20 +147,46 @@ def held_out(ids: pa.Array) -> np.ndarray:
     return np.array([x is not None and zlib.crc32(str(x).encode()) % 10 == 0 for x in ids.to_pylist()], dtype=bool)
 
 
-def _rows(buckets: int, kind: int, keys: np.ndarray, arrays: list[np.ndarray]) -> pa.RecordBatch:
+def pack_grams(grams: list[np.ndarray], count: np.ndarray) -> bytes:
+    """n-grams and counts in the order of the first word; each word stands once, and by number in the n-grams."""
+    order, out, head = None, [], []
+    for words in grams:
+        distinct, number = np.unique(words, return_inverse=True)
+        order = np.argsort(number, kind="stable") if order is None else order
+        number = number[order].astype(np.uint16 if len(distinct) < 1 << 16 else np.uint32)
+        head += [len(distinct), number.itemsize]
+        out += [pack(distinct), pack(number)]
+    return np.array([len(count), *head], np.int64).tobytes() + b"".join(out) + pack(count[order].astype(np.uint32))
+
+
+def unpack_grams(blob: bytes, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    n, *head = np.frombuffer(blob, np.int64, 1 + 2 * width).tolist()
+    at, grams = 8 * (1 + 2 * width), []
+    for size, kind in zip(head[::2], head[1::2], strict=True):
+        (distinct,) = unpack(blob[at : at + 8 * size], "u8")
+        at += 8 * size
+        (number,) = unpack(blob[at : at + kind * n], f"u{kind}")
+        at += kind * n
+        grams.append(distinct[number])
+    return grams, unpack(blob[at:], "u4")[0]
+
+
+def _rows(buckets: int, kind: int, keys: np.ndarray, grams: list[np.ndarray], values: list[np.ndarray]) -> pa.RecordBatch:
     edge = bucket_edges(keys, buckets)
     full = np.flatnonzero(np.diff(edge))
-    blobs = [pack(*(np.ascontiguousarray(a[edge[b] : edge[b + 1]]) for a in arrays)) for b in full]
+    cut = lambda x, b: np.ascontiguousarray(x[edge[b] : edge[b + 1]])
+    blobs = [pack_grams([cut(g, b) for g in grams], cut(values[0], b)) if kind == _GRAM else pack(*(cut(x, b) for x in (*grams, *values))) for b in full]
     return pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(np.full(len(full), kind), pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "kind", "blob"])
 
 
 _BLOB = "bucket long, kind int, blob binary"
-#: Kinds of blobs: counts of n-grams, counts of tokens, and what a level passes to the one below.
-_GRAM, _TOKEN, _BELOW = 0, 1, 2
-_CONTEXT = ["i8", "i8", "i8", "i8", "i8"]
+#: Kinds of blobs: counts of n-grams, counts of tokens, and none.
+_GRAM, _TOKEN, _NOTHING = 0, 1, 2
+#: What a level passes to the one below: distinct words seen before, and the total and the numbers of continuations.
+_PASSED = ["before", "total", "n1", "n2", "n3"]
 
 
-def train(docs: DataFrame, order: int = 2, bucket_bytes: int = 12 << 20) -> Model:
+def train(docs: DataFrame, order: int = 2, bucket_bytes: int = 16 << 20) -> Model:
     """Count the documents of docs(doc_id, text) that are not held out.
 
     Each level reads the texts once, so that only one level's n-grams are in a
@@ -162,6 +195,7 @@ def train(docs: DataFrame, order: int = 2, bucket_bytes: int = 12 << 20) -> Mode
     if order < 2:
         raise ValueError("order must be 2 or more")
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = parts(text_bytes(docs), bucket_bytes, 8)
     model = Model(mapped_dir(spark, "kneser-ney"), order, buckets)
 
@@ -169,89 +203,85 @@ def train(docs: DataFrame, order: int = 2, bucket_bytes: int = 12 << 20) -> Mode
         return lambda batches: count(batches, level)
 
     def count(batches: Iterator[pa.RecordBatch], level: int) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-        size = 0
-
-        def add(kind: int, grams: list[np.ndarray]) -> None:
-            held.setdefault(kind, []).append(_sum(gram_keys(grams), grams, [np.ones(len(grams[0]), np.int64)]))
+        held: list[list[np.ndarray]] = []
+        kind, size = (_TOKEN, 0) if level == 1 else (_GRAM, 0)
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind, pieces in held.items():
-                width = len(pieces[0][1])
-                keys, grams, (n,) = _sum(np.concatenate([p[0] for p in pieces]), [np.concatenate([p[1][j] for p in pieces]) for j in range(width)], [np.concatenate([p[2][0] for p in pieces])])
-                yield _rows(buckets, kind, keys, [*grams, n.astype(np.uint32)])
-            held.clear()
+            if held:
+                grams = [np.concatenate(x) for x in zip(*held, strict=True)]
+                held.clear()
+                keys, grams, (n,) = _sum(gram_keys(grams), grams, [np.ones(len(grams[0]), np.uint32)])
+                out = _rows(buckets, kind, keys, grams, [n.astype(np.uint32)])
+                del keys, grams, n
+                trim()
+                yield out
 
         for batch in slices(batches):
             words = Words(batch.column("text"), SPACED, lower=True)
             symbols, place, _ = sentences(words, np.flatnonzero(~held_out(batch.column("doc_id"))), order)
             if level == 1:
-                add(_TOKEN, [symbols[place > 0]])
+                held.append([symbols[place > 0]])
             else:  # shorter n-grams keep their counts only if they begin with the start symbol
                 ends = np.flatnonzero(place >= order - 1 if level == order else place == level - 1)
-                add(_GRAM, [symbols[ends - level + 1 + j] for j in range(level)])
-            size += len(symbols)
+                held.append([symbols[ends - level + 1 + j] for j in range(level)])
+            size += len(held[-1][0])
             if size > 2_500_000:
                 yield from flush()
                 size = 0
         yield from flush()
 
+    passed = {m: SortedFiles(model.levels[m].folder, f"passed{m}", buckets, ["key", *(f"w{j}" for j in range(m) if m > 1), *_PASSED], _PASSED) for m in range(1, order)}
+
     def merge(level: int):
         files = model.levels[level]
 
         def run(group: pa.Table) -> pa.Table:
             bucket = group.column("bucket")[0].as_py()
             pieces = []
-            grams_kind = ["u8"] * level
-            for kind, blob in zip(group.column("kind").to_pylist(), group.column("blob").to_pylist(), strict=True):
-                got = unpack(blob, *grams_kind, *(_CONTEXT if kind == _BELOW else ["u4"]))
-                zero = np.zeros(len(got[0]), np.int64)
-                if level == order:
-                    values = [got[level].astype(np.int64)]
-                elif kind == _BELOW:
-                    values = [zero, *got[level:]]
-                elif kind == _TOKEN:
-                    values = [got[level].astype(np.int64), *[zero] * 5]
+            for kind, blob in zip(group.column("kind").to_pylist(), group.column("blob"), strict=True):
+                if kind == _NOTHING:
+                    grams, count = [np.zeros(0, np.uint64)] * level, np.zeros(0, np.int64)
+                elif kind == _GRAM:
+                    grams, count = unpack_grams(blob.as_buffer().to_pybytes(), level)
                 else:
-                    values = [zero, got[level].astype(np.int64), *[zero] * 4]
-                pieces.append((got[:level], values))
+                    *grams, count = unpack(blob.as_buffer().to_pybytes(), "u8", "u4")
+                zero = np.zeros(len(count), np.int64)
+                count = count.astype(np.int64)
+                pieces.append((grams, [count] if level == order else [count if level == 1 else zero, zero if level == 1 else count, *[zero] * 4]))
+            if level < order:  # what each range of the level above has passed on, of which this range is a slice
+                for source in range(buckets):
+                    got = passed[level].part(source, bucket)
+                    if got:
+                        pieces.append((got[1 : level + 1] if level > 1 else got[:1], [np.zeros(len(got[0]), np.int64), *got[-5:]]))
             grams = [np.concatenate([p[0][j] for p in pieces]) for j in range(level)]
             values = [np.concatenate([p[1][j] for p in pieces]) for j in range(len(pieces[0][1]))]
             del pieces
             keys, grams, values = _sum(gram_keys(grams), grams, values)
-            raw, a, total, n1, n2, n3 = values if level < order else [np.zeros(0, np.int64), values[0], *[None] * 4]
-            narrow = lambda x: x.astype(np.uint8 if not len(x) or x.max() < 256 else np.uint32 if x.max() < 1 << 32 else np.uint64)
-            context = {"total": narrow(total), "n1": narrow(n1), "n2": narrow(n2), "n3": narrow(n3)} if level < order else {}
-            files.write(bucket, key=keys, count=narrow(a), **context, **({"raw": narrow(raw)} if level == 1 else {}))
-            out = {"bucket": [], "kind": [], "blob": []}
+            raw, a, *context = values if level < order else [np.zeros(0, np.int64), values[0]]
+            files.write(bucket, key=keys, count=a, raw=raw, **dict(zip(_PASSED[1:], context, strict=False)))
             if level > 1:
                 # a suffix gains one distinct word before it; a context gains its continuation
                 real = a > 0
                 grams, b = [g[real] for g in grams], a[real]
-                one, zero = np.ones(len(b), np.int64), np.zeros(len(b), np.int64)
-                columns = [np.concatenate((s, c)) for s, c in zip(grams[1:], grams[:-1], strict=True)]
-                both = [np.concatenate((one, zero)), *(np.concatenate((zero, x)) for x in (b, (b == 1).astype(np.int64), (b == 2).astype(np.int64), (b > 2).astype(np.int64)))]
+                _, suffix, (before,) = _sum(gram_keys(grams[1:]), grams[1:], [np.ones(len(b), np.int64)])
+                _, prefix, after = _sum(gram_keys(grams[:-1]), grams[:-1], [b, (b == 1).astype(np.int64), (b == 2).astype(np.int64), (b > 2).astype(np.int64)])
+                columns = [np.concatenate(x) for x in zip(suffix, prefix, strict=True)]
+                both = [np.concatenate((before, np.zeros(len(prefix[0]), np.int64))), *(np.concatenate((np.zeros(len(before), np.int64), x)) for x in after)]
                 k, columns, both = _sum(gram_keys(columns), columns, both)
-                below = _rows(buckets, _BELOW, k, [*columns, *both])
-                out = {n: below.column(n).to_pylist() for n in out}
-            # counts of counts and totals come back in a row without a bucket
-            facts = [int((a == k).sum()) for k in (1, 2, 3, 4)] + [int((a > 2).sum()), int(a.sum()), int(raw.sum()), int((raw > 0).sum())]
-            return pa.table({"bucket": pa.array([*out["bucket"], -1], pa.int64()), "kind": pa.array([*out["kind"], level], pa.int32()), "blob": pa.array([*out["blob"], np.array(facts, np.int64).tobytes()], pa.binary())})
+                passed[level - 1].write(bucket, key=k, **{f"w{j}": w for j, w in enumerate(columns)}, **dict(zip(_PASSED, both, strict=True)))
+            facts = [*(int((a == k).sum()) for k in (1, 2, 3, 4)), int((a > 2).sum()), int(a.sum()), int(raw.sum()), int((raw > 0).sum())]
+            trim()
+            return pa.table({f"f{j}": [x] for j, x in enumerate(facts)})
 
         return run
 
-    def facts_of(level: int, done: DataFrame) -> np.ndarray:
-        rows = done.where("bucket < 0").select("blob").collect()  # 64 bytes for each range
-        facts = sum((np.frombuffer(r[0], np.int64) for r in rows), np.zeros(8, np.int64))
-        model.discounts[level] = _discounts(facts[:4])
-        return facts
-
-    below = None
     for level in range(order, 0, -1):
-        own = docs.select("doc_id", "text").mapInArrow(counter(level), _BLOB)
-        done = written((own if below is None else own.unionByName(below)).groupBy("bucket").applyInArrow(merge(level), _BLOB), f"level{level}")
-        facts = facts_of(level, done)
-        below = done.where("bucket >= 0")
+        every = spark.range(buckets).select(F.col("id").alias("bucket"), F.lit(_NOTHING).alias("kind"), F.lit(b"").alias("blob"))
+        dealt = docs.select("doc_id", "text").mapInArrow(counter(level), _BLOB).unionByName(every)
+        merged = dealt.groupBy("bucket").applyInArrow(merge(level), ", ".join(f"f{j} long" for j in range(8)))
+        facts = merged.agg(*[F.sum(c).alias(c) for c in merged.columns]).first()
+        model.discounts[level] = _discounts(np.array(facts[:4]))
+        del dealt, merged
         release(spark)
     model.tokens, model.types = int(facts[6]), int(facts[7])
     model.unigram_total = float(facts[5])
