@@ -1,7 +1,7 @@
 """A corpus pipeline of five operators; each stage works on all that the one before kept.
 
 toxicity    documents whose toxicity is judged 0.5 or more go
-simhash     of each group of near-duplicates the document of smallest doc_id stays
+simhash     of each group of near-duplicates (similarity 0.8) the document of smallest doc_id stays
 substrings  words in windows of 20 that also start earlier go from the texts
 benchmark   runs of words that benchmark items share go from the texts
 packing     what is left becomes sequences of at most 4096 tokens
@@ -20,7 +20,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from foliometer.llm import decontaminate, packing, simhash, substrings, toxicity
+from foliometer.llm import decontaminate, nearcopies, packing, substrings, toxicity
 from foliometer.llm.common import shared_dir, table
 
 
@@ -37,10 +37,9 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates (five-word shingles, at most 4 of 64 bits)."""
-    groups = simhash.near_duplicates(docs, shingle_words=5, max_bits=4)
+    """One document of each group of near-duplicates: sets of five-word shingles of similarity 0.8 or more."""
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key")
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key).distinct()
+    kept = nearcopies.one_of_each(docs, [], shingle_words=5, similarity=0.8).select(key).distinct()
     # a doc_id that several rows share stays once, by the smallest text; the join and the window share one shuffle
     first = Window.partitionBy("_key").orderBy("text")
     out = docs.select("*", key).join(kept, "_key", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
