@@ -7,9 +7,9 @@ benchmark   runs of words that benchmark items share go from the texts
 packing     what is left becomes sequences of at most 4096 tokens
 
 All stages but the last return the columns of documents; n_chars follows the text.
-A document that loses all its words stays with an empty text. Rows that share a
-doc_id and a fingerprint's group are one document to the second stage: one row of
-them stays, that of smallest text.
+A document that loses all its words stays with an empty text. The second stage keeps
+one row of each group, whatever doc_ids other groups have: a null doc_id is larger than
+any other, and rows of one group and doc_id are settled by a hash of the text.
 """
 
 from __future__ import annotations
@@ -37,12 +37,14 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: sets of five-word shingles of similarity 0.8 or more."""
-    key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("_key")
-    kept = nearcopies.one_of_each(docs, [], shingle_words=5, similarity=0.8).select(key).distinct()
-    # a doc_id that several rows share stays once, by the smallest text; the join and the window share one shuffle
-    first = Window.partitionBy("_key").orderBy("text")
-    out = docs.select("*", key).join(kept, "_key", "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
+    """One row of each group of near-duplicates: sets of five-word shingles of similarity 0.8 or more."""
+    # what tells rows apart: two hashes of doc_id and text
+    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("_h1"), F.xxhash64(F.lit("_"), "text", "doc_id").alias("_h2"))
+    kept = nearcopies.one_of_each(keyed, ["_h1", "_h2"], shingle_words=5, similarity=0.8).select("_h1", "_h2")
+    # rows of the same doc_id and text stay once; the join and the window share one shuffle
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"]
+    first = Window.partitionBy("_h1", "_h2").orderBy(*rest)
+    out = keyed.join(kept, ["_h1", "_h2"], "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
     return out.select(*docs.columns)
 
 

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_edges, mapped_dir, pack, parts, release, unpack, written
+from .common import bucket_edges, mapped_dir, pack, parts, release, trim, unpack, written
 from .simhash import cells_of, components, majority, xxh64
 from .words import BASE, SPACED, Words, mix, slices
 
@@ -138,16 +138,31 @@ class Verified:
     """Whether two sets are similar, by the whole sets."""
 
     def __init__(self, sets: Sets, similarity: float) -> None:
-        self.sets, self.similarity, self.held = sets, similarity, (-1, np.zeros(0, np.uint64))
+        self.sets, self.similarity = sets, similarity
+        self.held: dict[int, np.ndarray] = {}  # sets read last, so many bytes of them
+        self.bytes = 0
+        self.apart: set[tuple[int, int]] = set()  # pairs found not to be similar, for they may share further keys
+
+    def get(self, place: int) -> np.ndarray:
+        if place not in self.held:
+            if self.bytes > 16 << 20:
+                self.held, self.bytes = {}, 0
+            self.held[place] = self.sets.get(place)
+            self.bytes += self.held[place].nbytes
+        return self.held[place]
 
     def __call__(self, a: int, b: int) -> bool:
-        m, n = self.sets.size(a), self.sets.size(b)
-        if min(m, n) < self.similarity * max(m, n) - 1e-9:
+        if (a, b) in self.apart:
             return False
-        if self.held[0] != a:
-            self.held = (a, self.sets.get(a))
-        both = len(np.intersect1d(self.held[1], self.sets.get(b), assume_unique=True))
-        return both >= self.similarity * (m + n - both) - 1e-9
+        m, n = self.sets.size(a), self.sets.size(b)
+        if min(m, n) >= self.similarity * max(m, n) - 1e-9:
+            both = len(np.intersect1d(self.get(a), self.get(b), assume_unique=True))
+            if both >= self.similarity * (m + n - both) - 1e-9:
+                return True
+        if len(self.apart) > 200_000:
+            self.apart.clear()
+        self.apart.add((a, b))
+        return False
 
 
 def key_links(key: np.ndarray, fp: np.ndarray, place: np.ndarray, max_bits: int, similar, few: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -214,6 +229,7 @@ def one_of_each(docs: DataFrame, keys: list[str], shingle_words: int = 5, simila
                 names = [c for c in batch.schema.names if c != "text"]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(_sums(h, first).view(np.int64)), pa.array(fp.view(np.int64)), pa.array(place + (number << _FILE), pa.int64())], [*names, "node", "fp", "place"])
         os.replace(temporary, sets.path(number))
+        trim()
 
     kinds = ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in ["doc_id", *keys])
     prints = docs.select("doc_id", *keys, "text").mapInArrow(write, f"{kinds}, node long, fp long, place long")
@@ -221,7 +237,7 @@ def one_of_each(docs: DataFrame, keys: list[str], shingle_words: int = 5, simila
     # the files' places are of one run of the pass, so it has to be written before it is aggregated
     prints = written(prints, "prints")
     nodes = written(prints.groupBy("node").agg(best, F.min("place").alias("place"), F.min("fp").alias("fp")), "nodes")
-    buckets = parts(nodes.count() * (2 * (1 + 32 * radius**2) + bands), 3_000_000, 8)
+    buckets = parts(nodes.count() * (2 * (1 + 32 * radius**2) + bands), 400_000, 8)
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,10 +265,12 @@ def one_of_each(docs: DataFrame, keys: list[str], shingle_words: int = 5, simila
                 full = np.flatnonzero(np.diff(edge))
                 blobs = [pack(key[edge[b] : edge[b + 1]], fp[owner[edge[b] : edge[b + 1]]], place[owner[edge[b] : edge[b + 1]]]) for b in full]
                 yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+        trim()
 
     def meet(group: pa.Table) -> pa.Table:
         all_ = [unpack(x, "u8", "u8", "u8") for x in group.column("blob").to_pylist()]
         a, b = key_links(*(np.concatenate([x[k] for x in all_]) for k in range(3)), max_bits, Verified(sets, similarity))
+        trim()
         return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
     edges = written(nodes.select("fp", "place").mapInArrow(put, "bucket long, blob binary").groupBy("bucket").applyInArrow(meet, "a long, b long"), "links")

@@ -77,3 +77,13 @@ def test_large_keys_are_compared_like_small_ones():
 def test_sets_have_each_shingle_once():
     _, h, first = nearcopies.shingle_sets(pa.array(["a a a a a a a a", None, "b", "A a a a a"]), 5)
     assert np.diff(first).tolist() == [1, 0, 1, 1] and h[0] == h[2]
+
+
+def test_rows_of_null_and_repeated_ids_stay_with_their_own_group(spark):
+    rnd = random.Random(6)
+    text = lambda n: " ".join(f"w{rnd.randrange(9000)}" for _ in range(n))
+    a, b, c, d, e, f = (text(60) for _ in range(6))
+    rows = [(None, a), (None, b), (None, b + " end"), (None, c), (7, None), (7, d), (7, d), (7, d + " end"), (7, e), (8, e), (9, f), (3, f), (3, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = [tuple(r) for r in corpus_pipeline.simhash_stage(spark, docs, "").collect()]
+    assert {(i, t.removesuffix(" end") if t else t) for i, t in got} == {(3, a), (None, b), (None, c), (7, None), (7, d), (7, e), (3, f)} and len(got) == 7
