@@ -4,7 +4,8 @@ Words are lower-cased runs of letters, digits and characters outside ASCII; a
 shingle is five consecutive words, a template of fewer words is one shingle. Each
 template is matched with windows of its own number of words that begin every
 stride = max(1, words // 16) words, so every stretch of the text that holds the template
-lies within half a stride of a window.
+lies within half a stride of a window. Texts are scanned end to end; where they are together
+shorter than a template, shingles that no text has fill the window up.
 
 A template matches where at least `containment` of its distinct shingles stand in a
 window widened by one stride to either side. Such a window and the template, of m
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import table
-from .words import ALNUM, Words, mix, slices, windows
+from .words import ALNUM, BASE, Words, mix, slices, windows
 
 SHINGLE = 5
 
@@ -106,6 +107,9 @@ def _window_min(h: np.ndarray, starts: np.ndarray, size: int, stride: int) -> np
 
 def candidates(shingles: np.ndarray, templates: list[Template]) -> list[np.ndarray]:
     """For each template (all of one shingle length), the starts of windows that agree with it in a band."""
+    short = max(t.size for t in templates) - len(shingles)
+    if len(shingles) and short > 0:  # a slice shorter than a template may still hold most of it
+        shingles = np.concatenate((shingles, mix(np.arange(1, short + 1, dtype=np.uint64) ^ BASE)))
     fit = [t for t in templates if len(shingles) >= t.size]
     at = {t.name: t.starts(len(shingles)) for t in fit}
     agree, found = {}, {t.name: np.zeros(len(at[t.name]), dtype=bool) for t in fit}
