@@ -48,6 +48,11 @@ def ascii_pairs(s, sf):
     return b.select("doc_id", "block_ix", t.normalize(F.col("text")).alias("g"), t.normalize(F.col("noisy")).alias("p"))
 
 
+def text_pairs(s, sf):
+    """Every block that has a text, as it is and with noise."""
+    return noisy(s, sf).where("text IS NOT NULL").select("doc_id", "block_ix", t.normalize(F.col("text")).alias("g"), t.normalize(F.col("noisy")).alias("p"))
+
+
 def _docs(expr):
     return lambda s, sf: read(s, sf, "documents").select("doc_id", expr(F.col("text")).alias("out"))
 
@@ -79,8 +84,8 @@ Q["fmt3"] = (lambda s, sf: read(s, sf, "lineitem").groupBy("l_shipdate").agg(F.a
 _cer_sql = "CASE WHEN length(g) = 0 THEN CASE WHEN length(p) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(g, p)::DOUBLE / length(g) END"
 Q["cer"] = (lambda s, sf: ascii_pairs(s, sf).select("doc_id", "block_ix", F.round(t.cer(F.col("g"), F.col("p")), 6).alias("cer")), f"WITH {BLOCKS}, {NOISY}, {ASCII} SELECT doc_id, block_ix, round({_cer_sql}, 6) AS cer FROM ascii")
 Q["text_accuracy"] = (lambda s, sf: ascii_pairs(s, sf).join(read(s, sf, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.round(F.avg(t.accuracy(t.cer(F.col("g"), F.col("p")))), 6).alias("accuracy"), F.count("*").alias("n")), f"WITH {BLOCKS}, {NOISY}, {ASCII} SELECT lang, round(avg(greatest(0.0, 1 - least(1.0, {_cer_sql}))), 6) AS accuracy, count(*) AS n FROM ascii JOIN documents USING (doc_id) GROUP BY lang")
-Q["wer"] = (lambda s, sf: ascii_pairs(s, sf).select("doc_id", "block_ix", F.round(t.wer(F.col("g"), F.col("p")), 6).alias("wer")), None)
-Q["indel_ratio"] = (lambda s, sf: ascii_pairs(s, sf).where(F.length("g") <= 80).select("doc_id", "block_ix", F.round(t.similarity(F.col("g"), F.col("p")), 6).alias("sim")), None)
+Q["wer"] = (lambda s, sf: text_pairs(s, sf).select("doc_id", "block_ix", F.round(t.wer(F.col("g"), F.col("p")), 6).alias("wer")), None)
+Q["indel_ratio"] = (lambda s, sf: text_pairs(s, sf).select("doc_id", "block_ix", F.round(t.similarity(F.col("g"), F.col("p")), 6).alias("sim")), None)
 Q["count_accuracy"] = (lambda s, sf: read(s, sf, "events").groupBy("user_id").agg(F.count("*").alias("g"), F.count(F.when(F.col("value") > 5, 1)).alias("p")).select("user_id", F.round(t.count_accuracy(F.col("g"), F.col("p")), 6).alias("accuracy")), "SELECT user_id, round(CASE WHEN abs(p - g) / g <= 0.1 THEN 1.0 ELSE greatest(0.0, 1 - (abs(p - g) / g - 0.1) / 0.2) END, 6) AS accuracy FROM (SELECT user_id, count(*)::DOUBLE AS g, count(*) FILTER (value > 5)::DOUBLE AS p FROM events GROUP BY 1)")
 
 # -- degradations of blocks
