@@ -10,37 +10,47 @@ document fill sequences alone; what is left of each, its tail, is packed:
 3. The r-th tail of a length goes to the combination and repeat that the plan has for
    rank r. As lengths were rounded down, a sequence holds a few ids too many;
    its longest tail, which comes last, is cut by those.
-4. What the plan leaves over (tails that it does not use, the cut ends, tails under
-   one unit) is laid end to end and cut at each window. The last, partial window is
-   cut at powers of two. So no sequence has padding: each holds `window` ids or a
-   power of two.
-
-Only the histogram (at most units rows) reaches the driver. The plan (at most units x
-depth rows) is broadcast, and so are the shifts of the running sums (at most units x
-`most_buckets` rows, some megabytes at any size of input). Ranks and positions are
-running sums over hash buckets, so no length, however common, meets in one task. Token ids are written once
-and joined once with their pieces.
+4. The residual (tails that the plan leaves over, the cut ends, tails under one unit) is
+   packed greedily by exact length: a sequence takes as many as fit of the longest, then
+   of the longest that fits what is open, and so on; if nothing fits, the shortest
+   piece that is longer is cut. The same filling is repeated while there are pieces for it.
+5. What the greedy step cuts off, and its last sequence if it stays open, is laid end to
+   end and cut at each window; the last, partial window is cut at powers of two. So no
+   sequence has padding: each holds `window` ids or a power of two.
+
+The column `step` says which of these placed a piece: whole, nnls, greedy or rest.
+
+Ids are written once, by the task that reads the texts, into a file of that task in the
+shared folder; from there on rows hold places in these files, and the last pass maps them
+for the check sums. Ranks are counted within each task as it writes, and shifted by
+the counts of the tasks before, so no length, however common, meets in one task. The
+driver gets two histograms: at most `units` and `window` rows; the plans made of them go
+along with the tasks.
 
 Nulls and ties: a null text is empty and yields its end id; a null doc_id stays.
 Rows that repeat a doc_id are documents of their own. An empty table gives an empty
-result.
+result. Columns other than doc_id and text are not read.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window
 
-from .common import parts, running, table, written
+from .common import mapped_dir, table, trim, written
 from .words import SPACED, Words, slices
 
 
@@ -48,19 +58,26 @@ class WordEncoder:
     """Token ids of whole texts, word by word.
 
     For tokenizers that drop white space and split at it, a text's ids are those of
-    its words, so each word is encoded once and kept in a table of bounded size.
+    its words, so each word is encoded once and kept in a table of bounded size. A
+    word is known by its hash, its length and its first eight bytes together.
     """
 
     _kept: dict[str, WordEncoder] = {}
 
     @classmethod
     def of(cls, path: str) -> WordEncoder:
-        """The encoder of this process, which keeps its table from task to task."""
+        """The encoder of this process."""
         if path not in cls._kept:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    def __init__(self, path: str, slots: int = 1 << 21, pool: int = 8_000_000) -> None:
+    @classmethod
+    def drop(cls) -> None:
+        """Forget the encoders of this process: the worker goes on to other stages."""
+        cls._kept.clear()
+        trim()
+
+    def __init__(self, path: str, slots: int = 1 << 20, pool: int = 4_000_000) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
@@ -68,66 +85,128 @@ class WordEncoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.keys, self.entry = np.zeros(self.slots, np.uint64), np.full(self.slots, -1, np.int32)
-        self.begin, self.length = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.ids = np.zeros(0, np.uint32)
+        self.keys, self.entry = np.zeros((3, self.slots), np.uint64), np.full(self.slots, -1, np.int32)
+        self.begin, self.length, self.ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self.entries = self.used = 0
+
+    def _room(self, name: str, n: int) -> None:
+        array = getattr(self, name)
+        if len(array) < n:
+            more = np.zeros(max(n, len(array) * 3 // 2), array.dtype)
+            more[: len(array)] = array
+            setattr(self, name, more)
+
+    def _enter(self, ids: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Adds entries of so many ids each; returns their numbers."""
+        first, self.entries = self.entries, self.entries + len(size)
+        for name, n in (("begin", self.entries), ("length", self.entries), ("ids", self.used + len(ids))):
+            self._room(name, n)
+        self.begin[first : self.entries] = self.used + np.cumsum(size) - size
+        self.length[first : self.entries] = size
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used += len(ids)
+        return np.arange(first, self.entries)
 
     def _encode(self, words: list[str]) -> np.ndarray:
-        """Adds entries for words; returns their numbers."""
-        got = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        size = np.fromiter(map(len, got), np.int64, len(got))
-        flat = np.fromiter((i for x in got for i in x), np.uint32, int(size.sum()))
-        first = len(self.begin)
-        self.begin = np.concatenate((self.begin, len(self.ids) + np.cumsum(size) - size))
-        self.length = np.concatenate((self.length, size))
-        self.ids = np.concatenate((self.ids, flat))
-        return np.arange(first, len(self.begin))
+        flat, size = [], []
+        for at in range(0, len(words), 1024):
+            got = [x.ids for x in self.tokenizer.encode_batch_fast(words[at : at + 1024], add_special_tokens=False)]
+            size.append(np.fromiter(map(len, got), np.int64, len(got)))
+            flat.append(np.fromiter((i for x in got for i in x), np.uint32, int(size[-1].sum())))
+        return self._enter(np.concatenate(flat), np.concatenate(size))
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids end to end, each text's followed by end_id, and where each text's begin."""
-        if len(self.ids) > self.pool:
+        if self.used > self.pool:
             self._clear()
         words = Words(texts, SPACED, lower=False)
-        h = words.hash
-        slot = (h >> np.uint64(11)).astype(np.int64) & (self.slots - 1)
-        which = np.where(self.keys[slot] == h, self.entry[slot], -1)
+        keys = np.stack([words.hash, words.heads(), (words.end - words.start).astype(np.uint64)])
+        slot = (keys[0] >> np.uint64(11)).astype(np.int64) & (self.slots - 1)
+        which = np.where((self.keys[:, slot] == keys).all(axis=0), self.entry[slot], -1)
         missing = np.flatnonzero(which < 0)
         if len(missing):
-            keys, first, back = np.unique(h[missing], return_index=True, return_inverse=True)
+            _, first, back = np.unique(keys[0][missing], return_index=True, return_inverse=True)
+            alike = (keys[:, missing] == keys[:, missing[first[back]]]).all(axis=0)
+            if not alike.all():  # different words of one hash: each for itself
+                back[~alike] = len(first) + np.arange((~alike).sum())
+                first = np.concatenate((first, np.flatnonzero(~alike)))
             at = missing[first]
             new = self._encode([words.text(k).decode() for k in at])
             which[missing] = new[back]
             free = self.entry[slot[at]] < 0
-            self.keys[slot[at][free]], self.entry[slot[at][free]] = keys[free], new[free]
-        end = self._encode_id(end_id)
+            at, new = at[free][::-1], new[free][::-1]  # of several words of a slot the first stays
+            self.keys[:, slot[at]], self.entry[slot[at]] = keys[:, at], new
+        end = self._enter(np.array([end_id], np.uint32), np.ones(1, np.int64))[0]
         every = np.insert(which, words.first[1:], end)
-        size = self.length[every]
+        size = self.length[every].astype(np.int64)
         place = np.cumsum(size) - size
         out = self.ids[np.repeat(self.begin[every] - place, size) + np.arange(size.sum())]
         starts = place[words.first[:-1] + np.arange(len(words.first) - 1)]
         return out, np.append(starts, len(out))
 
-    def _encode_id(self, token: int) -> int:
-        self.begin, self.length = np.append(self.begin, len(self.ids)), np.append(self.length, 1)
-        self.ids = np.append(self.ids, np.uint32(token))
-        return len(self.begin) - 1
+
+class Ids:
+    """The ids that tasks have written, one file each, mapped and not read."""
+
+    def __init__(self, folder: str) -> None:
+        self.folder, self._open = folder, {}
+
+    def __getstate__(self):
+        return {"folder": self.folder, "_open": {}}
+
+    def path(self, task: int) -> str:
+        return f"{self.folder}/ids-{task:06d}.bin"
+
+    def get(self, task: int, width: int, at: int, n: int) -> np.ndarray:
+        """n ids from the at-th on, 32 bits each."""
+        if task not in self._open:
+            self._open = {task: np.memmap(self.path(task), "<u2" if width == 2 else "<u4", "r")}
+        return self._open[task][at : at + n].astype("<u4")
 
 
-def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """row_id (unique), doc_id, n, ids (little-endian unsigned 32-bit, or 16-bit where all fit), written once."""
+#: What a piece carries from pass to pass: its document, the document's ids, and where they are.
+CARRIED = ["doc_id", "n", "task", "at", "width"]
+
+
+def ordinal_within(groups: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """For each entry, how many of its group came before; seen counts them on."""
+    order = np.argsort(groups, kind="stable")
+    ordered = groups[order]
+    begin = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(groups) else np.zeros(0, np.int64)
+    size = np.diff(np.append(begin, len(groups)))
+    out = np.empty(len(groups), np.int64)
+    out[order] = np.arange(len(groups)) - np.repeat(begin, size) + seen[ordered]
+    seen[ordered[begin]] += size
+    return out
+
+
+def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int, units: int) -> tuple[DataFrame, Ids]:
+    """Rows of CARRIED with full (windows of the task's rows before), units and rank (of the tail, among the task's of as many units); the ids in files."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    files = Ids(mapped_dir(docs.sparkSession, "ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder.of(tokenizer)
+        encode, task = WordEncoder.of(tokenizer), TaskContext.get().partitionId()
         narrow = "<u2" if encode.tokenizer.get_vocab_size() <= 1 << 16 and end_id < 1 << 16 else "<u4"
-        for batch in slices(batches):
-            ids, at = encode(batch.column("text"), end_id)
-            raw, width = ids.astype(narrow), np.dtype(narrow).itemsize
-            blobs = pa.Array.from_buffers(pa.large_binary(), batch.num_rows, [None, pa.py_buffer((at * width).astype(np.int64)), pa.py_buffer(raw)]).cast(pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.diff(at)), blobs, pa.array(np.full(batch.num_rows, width, np.int32))], ["doc_id", "n", "ids", "width"])
-
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n long, ids binary, width int")
-    return written(out.select(F.monotonically_increasing_id().alias("row_id"), "*"), "tokens")
+        temporary = f"{files.path(task)}.{uuid.uuid4().hex}"
+        before = full = 0
+        seen = np.zeros(units, np.int64)
+        with open(temporary, "wb") as f:
+            for batch in slices(batches):
+                ids, at = encode(batch.column("text"), end_id)
+                f.write(ids.astype(narrow).data)
+                n, rows = np.diff(at), batch.num_rows
+                whole = n // window
+                unit = n % window * units // window
+                columns = {"doc_id": batch.column("doc_id"), "n": n, "task": np.full(rows, task, np.int32), "at": before + at[:-1], "width": np.full(rows, np.dtype(narrow).itemsize, np.int32), "full": full + np.cumsum(whole) - whole, "units": unit.astype(np.int32), "rank": ordinal_within(unit, seen)}
+                yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
+                before, full = before + len(ids), full + int(whole.sum())
+        os.replace(temporary, files.path(task))
+        WordEncoder.drop()
+
+    schema = f"doc_id {kind}, n long, task int, at long, width int, full long, units int, rank long"
+    # the places are of one run of the pass, so it is written before anything else reads it
+    return written(docs.select("doc_id", "text").mapInArrow(run, schema), "tokens"), files
 
 
 def combinations(units: int, depth: int) -> list[tuple[int, ...]]:
@@ -198,73 +277,173 @@ def plan(histogram: dict[int, int], units: int, depth: int) -> tuple[list[tuple[
     return rows, sequences
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, units: int = 128, depth: int = 3, keep_ids: bool = False, bucket_rows: int = 5_000, most_buckets: int = 1024) -> DataFrame:
-    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset and, if asked for, ids (32-bit)."""
-    spark = docs.sparkSession
+def greedy(histogram: dict[int, int], window: int) -> tuple[list[tuple[int, int, int, int, int, int, int]], int]:
+    """Rows (length, from rank, to rank, pieces of a sequence, first sequence, offset, ids taken of each) and the number of sequences.
+
+    Pieces that no row has are those of a last sequence that nothing is left to fill.
+    Each filling is repeated until a length runs short, so there are about as many rows as lengths, however many pieces.
+    """
+    left = {k: n for k, n in histogram.items() if n}
+    lengths, used, rows, sequences = sorted(left), dict.fromkeys(left, 0), [], 0
+    while lengths:
+        open_, picks, top = window, [], len(lengths)
+        while open_ and (top := bisect_right(lengths, open_, 0, top)):
+            top -= 1
+            k = lengths[top]
+            many = min(open_ // k, left[k])
+            picks.append((k, many, window - open_, k))
+            open_ -= many * k
+        need = {k: n for k, n, _, _ in picks}
+        if open_:  # the shortest that is longer, cut
+            over = next((k for k in lengths[bisect_left(lengths, open_ + 1) :] if left[k] > need.get(k, 0)), None)
+            if over is None:
+                break
+            picks.append((over, 1, window - open_, open_))
+            need[over] = need.get(over, 0) + 1
+        repeat = min(left[k] // n for k, n in need.items())
+        for k, n, offset, taken in picks:
+            rows.append((k, used[k], used[k] + repeat * n, n, sequences, offset, taken))
+            used[k] += repeat * n
+            left[k] -= repeat * n
+        sequences += repeat
+        for k in need:
+            if not left[k]:
+                del lengths[bisect_left(lengths, k)]
+    return rows, sequences
+
+
+class Steps:
+    """Rows of a plan, found by length and rank."""
+
+    def __init__(self, rows: list[tuple[int, ...]]) -> None:
+        self.rows = np.array(sorted(rows), dtype=np.int64)
+
+    def find(self, length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each (length, rank), and whether there is one."""
+        if not len(self.rows):
+            return np.zeros(len(length), np.int64), np.zeros(len(length), dtype=bool)
+        wide = 1 << 48
+        at = np.maximum(np.searchsorted(self.rows[:, 0] * wide + self.rows[:, 1], length * wide + rank, side="right") - 1, 0)
+        return at, (self.rows[at, 0] == length) & (self.rows[at, 1] <= rank) & (rank < self.rows[at, 2])
+
+
+def before(df: DataFrame, by: list[str], part: str, value, name: str) -> DataFrame:
+    """by, part, name: what value sums to in the parts before, for each part; one row for each part and group."""
+    sums = df.groupBy(*by, part).agg(value.alias("_s"))
+    earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*by, part, F.coalesce(F.sum("_s").over(earlier), F.lit(0)).cast("long").alias(name))
+
+
+def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, window: int = 4096, units: int = 128, depth: int = 3, keep_ids: bool = False) -> DataFrame:
+    """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, step and, if asked for, ids (32-bit)."""
     if window % units or window & (window - 1):
         raise ValueError("window must be a power of two and a multiple of units")
-    unit = window // units
-    tokens = tokenized(docs, tokenizer, end_id)
-    lengths = tokens.select("row_id", "n")
-    rows, whole = lengths.agg(F.count("*"), F.sum(F.floor(F.col("n") / window))).first()
-    whole, buckets = whole or 0, min(most_buckets, parts(rows, bucket_rows))
-    full = running(lengths, [], ["row_id"], F.expr(f"n div {window}"), "first", buckets).where(f"n >= {window}")
-    full = full.select("row_id", F.posexplode(F.expr(f"sequence(0L, n div {window} - 1)")).alias("k", "at"), "first")
-    full = full.select("row_id", (F.col("at") * window).alias("start"), F.lit(window).cast("long").alias("length"), (F.col("first") + F.col("at")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
-
-    tails = lengths.where(f"n % {window} > 0").select("row_id", F.expr(f"n - n % {window}").alias("start"), F.expr(f"n % {window}").alias("length")).withColumn("units", F.expr(f"cast(length div {unit} as int)"))
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    tokens, files = tokenized(docs, tokenizer, end_id, window, units)
+    whole = tokens.agg(F.sum(F.expr(f"n div {window}"))).first()[0] or 0
+    full = tokens.where(f"n >= {window}").join(before(tokens, [], "task", F.sum(F.expr(f"n div {window}")), "shift"), "task")
+    full = full.select(*CARRIED, F.posexplode(F.expr(f"sequence(0L, n div {window} - 1)")).alias("k", "w"), (F.col("full") + F.col("shift")).alias("first"))
+    full = full.select(*CARRIED, (F.col("w") * window).alias("start"), F.lit(window).cast("long").alias("length"), (F.col("first") + F.col("w")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit("whole").alias("step"))
+
+    tails = tokens.where(f"n % {window} > 0")
     histogram = {r[0]: r[1] for r in tails.where("units > 0").groupBy("units").count().collect()}  # at most units rows
-    steps, planned = plan(histogram, units, depth)
-    schema = "units int, from_rank long, to_rank long, base long, slot int"
-    steps = F.broadcast(spark.createDataFrame(steps, schema).withColumnRenamed("units", "u"))
-    ranked = running(tails, ["units"], ["row_id"], F.lit(1), "rank", buckets)
-    ranked = ranked.join(steps, (F.col("units") == F.col("u")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")), "left")
-    ranked = written(ranked.select("row_id", "start", "length", (F.col("base") + F.col("rank") - F.col("from_rank")).alias("seq"), "slot"), "ranked")
-    together = Window.partitionBy("seq")
-    before = together.orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranked.where("seq IS NOT NULL").select("*", F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), F.sum("length").over(together).alias("total"), F.max("slot").over(together).alias("last"))
-    placed = placed.withColumn("excess", F.expr(f"CASE WHEN slot = last THEN total - {window} ELSE 0 END"))
-    fitted = placed.select("row_id", "start", (F.col("length") - F.col("excess")).alias("length"), (F.col("seq") + whole).alias("sequence_id"), "offset")
-    ends = placed.where("excess > 0").select("row_id", (F.col("start") + F.col("length") - F.col("excess")).alias("start"), F.col("excess").alias("length"))
-    pool = written(ends.unionByName(ranked.where("seq IS NULL").select("row_id", "start", "length")), "pool")
-    total = pool.agg(F.sum("length")).first()[0] or 0
-    edges, at = [total - total % window], total - total % window
+    rows, planned = plan(histogram, units, depth)
+    steps = Steps(rows)
+
+    def combine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, there = steps.find(batch.column("units").to_numpy().astype(np.int64), batch.column("rank").to_numpy())
+            got = steps.rows[at] if len(steps.rows) else np.zeros((batch.num_rows, 5), np.int64)
+            sequence = np.where(there, got[:, 3] + batch.column("rank").to_numpy() - got[:, 1], 0)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in CARRIED), pa.array(sequence, mask=~there), pa.array(got[:, 4].astype(np.int32), mask=~there)], [*CARRIED, "seq", "slot"])
+
+    ranked = tails.join(before(tails, ["units"], "task", F.count("*"), "shift"), ["units", "task"]).select(*CARRIED, "units", (F.col("rank") + F.col("shift")).alias("rank"))
+    ranked = ranked.mapInArrow(combine, f"doc_id {kind}, n long, task int, at long, width int, seq long, slot int")
+    ranked = ranked.select("*", F.expr(f"n - n % {window}").alias("start"), F.expr(f"n % {window}").alias("length"), F.coalesce("seq", -1 - F.pmod(F.xxhash64("task", "at"), F.lit(1 << 40))).alias("_g"))
+    together = Window.partitionBy("_g")
+    earlier = together.orderBy("slot", "task", "at").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranked.select("*", F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("offset"), F.sum("length").over(together).alias("total"), F.max("slot").over(together).alias("last"))
+    placed = placed.withColumn("excess", F.expr(f"CASE WHEN seq IS NULL THEN length WHEN slot = last THEN total - {window} ELSE 0L END")).withColumn("stays", F.col("length") - F.col("excess"))
+    piece = F.struct(F.col("start"), F.col("stays").alias("length"), (F.col("seq") + whole).alias("sequence_id"), F.col("offset"))
+    end = F.struct((F.col("start") + F.col("stays")).alias("start"), F.col("excess").alias("length"), F.lit(None).cast("long").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    combined = placed.select(*CARRIED, F.inline(F.array(piece, end))).where("length > 0")
+    columns = f"doc_id {kind}, n long, task int, at long, width int, start long, length long, sequence_id long, offset long"
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, seen = TaskContext.get().partitionId(), np.zeros(window + 1, np.int64)
+        for batch in batches:
+            rank = np.zeros(batch.num_rows, np.int64)
+            free = batch.column("sequence_id").is_null().to_numpy(zero_copy_only=False)
+            rank[free] = ordinal_within(batch.column("length").to_numpy()[free], seen)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(batch.num_rows, part, np.int32)), pa.array(rank)], [*batch.schema.names, "part", "rank"])
+
+    combined = written(combined.mapInArrow(number, f"{columns}, part int, rank long"), "combined")
+    residual = combined.where("sequence_id IS NULL")
+    histogram = {r[0]: r[1] for r in residual.groupBy("length").count().collect()}  # at most window rows
+    rows, filled = greedy(histogram, window)
+    fillings = Steps(rows)
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, laid = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            length, rank, start = (batch.column(c).to_numpy() for c in ("length", "rank", "start"))
+            at, there = fillings.find(length, rank)
+            got = fillings.rows[at] if len(fillings.rows) else np.zeros((batch.num_rows, 7), np.int64)
+            k, each = rank - got[:, 1], np.maximum(got[:, 3], 1)
+            taken = np.where(there, got[:, 6], 0)
+            rest = np.flatnonzero(taken < length)
+            row = np.concatenate((np.flatnonzero(there), rest))
+            of_rest = np.arange(len(row)) >= there.sum()
+            sizes = np.where(of_rest, (length - taken)[row], taken[row])
+            laid_before = np.where(of_rest, np.cumsum(np.where(of_rest, sizes, 0)) - sizes + laid, 0)
+            laid += int(sizes[of_rest].sum())
+            sequence = (got[:, 4] + k // each + whole + planned)[row]
+            offset = (got[:, 5] + k % each * got[:, 0])[row]
+            begin = np.where(of_rest, (start + taken)[row], start[row])
+            back = pa.array(row)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(back) for c in CARRIED), pa.array(begin), pa.array(sizes), pa.array(sequence, mask=of_rest), pa.array(offset), pa.array(np.full(len(row), part, np.int32)), pa.array(laid_before)], [*CARRIED, "start", "length", "sequence_id", "offset", "part", "laid"])
+
+    shifted = residual.join(before(residual, ["length"], "part", F.count("*"), "shift"), ["length", "part"]).select(*CARRIED, "start", "length", (F.col("rank") + F.col("shift")).alias("rank"))
+    spread = written(shifted.mapInArrow(fill, f"{columns}, part int, laid long"), "spread")
+    rest = spread.where("sequence_id IS NULL")
+    total = rest.agg(F.sum("length")).first()[0] or 0
+    edges = rest_edges(total, window)
+    known = "array(" + ", ".join(f"{x}L" for x in edges) + ")"
+    laid = rest.join(before(rest, [], "part", F.sum("length"), "shift"), "part").withColumn("a", F.col("laid") + F.col("shift")).withColumn("to", F.expr("a + length"))
+    inner = F.expr(f"filter(transform(sequence(a div {window}, (to - 1) div {window}), x -> x * {window}), x -> x > a AND x <= {edges[0]}L)")
+    cuts = F.array_sort(F.array_union(F.array_union(F.array("a"), inner), F.expr(f"filter({known}, x -> x > a AND x < to)")))
+    laid = laid.withColumn("cuts", cuts).select(*CARRIED, "start", "to", "a", "cuts", F.posexplode("cuts").alias("k", "p")).withColumn("q", F.coalesce(F.try_element_at("cuts", F.col("k") + 2), F.col("to")))
+    ordinal = F.expr(f"size(filter({known}, x -> x <= p)) - 1")
+    own = F.when(F.col("p") < edges[0], F.expr(f"p div {window}")).otherwise(F.lit(edges[0] // window) + ordinal)
+    offset = F.when(F.col("p") < edges[0], F.expr(f"p % {window}")).otherwise(F.col("p") - F.element_at(F.expr(known), ordinal + 1))
+    laid = laid.select(*CARRIED, (F.col("start") + F.col("p") - F.col("a")).alias("start"), (F.col("q") - F.col("p")).alias("length"), (own + whole + planned + filled).alias("sequence_id"), offset.alias("offset"), F.lit("rest").alias("step"))
+
+    final = ["start", "length", "sequence_id", "offset", "step"]
+    pieces = full.unionByName(combined.where("sequence_id IS NOT NULL").select(*CARRIED, *final[:-1], F.lit("nnls").alias("step")))
+    pieces = pieces.unionByName(spread.where("sequence_id IS NOT NULL").select(*CARRIED, *final[:-1], F.lit("greedy").alias("step"))).unionByName(laid)
+    schema = T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *[T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")], T.StructField("step", T.StringType()), *([T.StructField("ids", T.BinaryType())] if keep_ids else [])])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for large in batches:
+            for a in range(0, large.num_rows, 256 if keep_ids else large.num_rows):
+                batch = large.slice(a, 256) if keep_ids else large
+                task, width, at, start, length = (batch.column(c).to_numpy() for c in ("task", "width", "at", "start", "length"))
+                own = [files.get(*x) for x in zip(task.tolist(), width.tolist(), (at + start).tolist(), length.tolist(), strict=True)] if keep_ids else None
+                crc = [zlib.crc32(x) for x in own] if keep_ids else [zlib.crc32(files.get(*x)) for x in zip(task.tolist(), width.tolist(), (at + start).tolist(), length.tolist(), strict=True)]
+                out = [batch.column("doc_id"), batch.column("start"), batch.column("length"), pa.array(crc, pa.int64()), batch.column("n"), batch.column("sequence_id"), batch.column("offset"), pc.cast(batch.column("step"), pa.string())]
+                yield pa.RecordBatch.from_arrays(out + ([pa.array([x.tobytes() for x in own], pa.binary())] if keep_ids else []), [f.name for f in schema.fields])
+
+    # each file is mapped by few tasks, from front to back
+    return pieces.repartition("task").sortWithinPartitions("task", F.col("at") + F.col("start")).mapInArrow(digest, schema)
+
+
+def rest_edges(total: int, window: int) -> list[int]:
+    """Where the last, partial window begins, and its parts, which are powers of two."""
+    edges = [total - total % window]
     for k in reversed(range(window.bit_length() - 1)):
         if total % window >> k & 1:
-            at += 1 << k
-            edges.append(at)
-    rest = ", ".join(f"{x}L" for x in edges)
-    laid = running(pool, [], ["row_id", "start"], F.col("length"), "at", buckets).withColumn("to", F.expr("at + length"))
-    inner = F.expr(f"filter(transform(sequence(at div {window}, (to - 1) div {window}), x -> x * {window}), x -> x > at AND x < to AND x <= {edges[0]}L)")
-    cuts = F.array_sort(F.array_union(F.array_union(F.array("at"), inner), F.expr(f"filter(array({rest}), x -> x > at AND x < to)")))
-    laid = laid.withColumn("cuts", cuts).select("*", F.posexplode("cuts").alias("k", "a")).withColumn("b", F.coalesce(F.try_element_at("cuts", F.col("k") + 2), F.col("to")))
-    ordinal = F.expr(f"size(filter(array({rest}), x -> x <= a)) - 1")
-    number = F.when(F.col("a") < edges[0], F.expr(f"a div {window}")).otherwise(F.lit(edges[0] // window) + ordinal)
-    offset = F.when(F.col("a") < edges[0], F.expr(f"a % {window}")).otherwise(F.col("a") - F.element_at(F.expr(f"array({rest})"), ordinal + 1))
-    spread = laid.select("row_id", (F.col("start") + F.col("a") - F.col("at")).alias("start"), (F.col("b") - F.col("a")).alias("length"), (number + whole + planned).alias("sequence_id"), offset.alias("offset"))
-
-    pieces = full.unionByName(fitted).unionByName(spread).groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("start", "length", "sequence_id", "offset"))).alias("pieces"))
-    kind = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", kind), *[T.StructField(n, T.LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")], *([T.StructField("ids", T.BinaryType())] if keep_ids else [])])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "ids"):
-            lists = batch.column("pieces")
-            flat, at = lists.flatten(), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))))
-            start, length = flat.field("start").to_numpy(), flat.field("length").to_numpy()
-            crc, ids, width = np.empty(len(start), np.int64), [], batch.column("width")[0].as_py()
-            for i, raw in enumerate(batch.column("ids")):
-                own = np.frombuffer(raw.as_buffer(), "<u2" if width == 2 else "<u4").astype("<u4")
-                for k in range(at[i], at[i + 1]):
-                    part = own[start[k] : start[k] + length[k]]
-                    crc[k] = zlib.crc32(part)
-                    if keep_ids:
-                        ids.append(part.tobytes())
-            back = pa.array(np.repeat(np.arange(batch.num_rows), np.diff(at)))
-            out = [batch.column("doc_id").take(back), flat.field("start"), flat.field("length"), pa.array(crc), batch.column("n").take(back), flat.field("sequence_id"), flat.field("offset")]
-            yield pa.RecordBatch.from_arrays(out + ([pa.array(ids, pa.binary())] if keep_ids else []), [f.name for f in schema.fields])
-
-    return tokens.join(pieces, "row_id").select("doc_id", "n", "ids", "width", "pieces").mapInArrow(run, schema)
+            edges.append(edges[-1] + (1 << k))
+    return edges
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

@@ -99,6 +99,11 @@ class Words:
             self._hash = h
         return self._hash
 
+    def heads(self) -> np.ndarray:
+        """The first eight bytes of each word as a number; zeros after a shorter one."""
+        at8 = np.ndarray(shape=(self.size + 8,), dtype="<u8", buffer=self._padded, strides=(1,))
+        return at8[self.start] & _MASK[np.minimum(self.end - self.start, 8)]
+
     def prefixes(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """The words of more than `size` bytes (at most 8), and a hash of the first `size` of each."""
         at = np.flatnonzero(self.end - self.start > size)

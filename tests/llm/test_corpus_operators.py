@@ -65,7 +65,7 @@ def test_op1_packing(docs, pairs, nothing):
     path = packing.public_tokenizers.path("word_bpe_49k.json")
     whole = Tokenizer.from_file(path)
     for window, units in ((4096, 128), (64, 16)):
-        rows = packing.pack_documents(docs, path, 2, window=window, units=units, bucket_rows=10).collect()
+        rows = packing.pack_documents(docs, path, 2, window=window, units=units, keep_ids=True).collect()
         texts = Counter((d, tuple(whole.encode(t or "", add_special_tokens=False).ids + [2])) for d, t in pairs)
         assert {d for d, _ in texts} == {r["doc_id"] for r in rows}
         for (d, ids), n in texts.items():
@@ -73,7 +73,8 @@ def test_op1_packing(docs, pairs, nothing):
             own = sorted((r for r in rows if r["doc_id"] == d), key=lambda r: r["start"])
             assert [r["start"] for r in own] == [0, *itertools.accumulate(r["length"] for r in own)][:-1] and sum(r["length"] for r in own) == len(ids)
             for r in own:
-                assert r["ids_crc32"] == zlib.crc32(np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()) and r["doc_tokens"] == len(ids)
+                raw = np.array(ids[r["start"] : r["start"] + r["length"]], "<u4").tobytes()
+                assert r["ids_crc32"] == zlib.crc32(raw) and bytes(r["ids"]) == raw and r["doc_tokens"] == len(ids)
         sequences = defaultdict(list)
         for r in rows:
             sequences[r["sequence_id"]].append((r["offset"], r["length"]))
@@ -103,6 +104,34 @@ def test_op1_plan_uses_what_is_there():
     assert (x >= 0).all() and gain.max() < 1e-7 and np.abs(gain[x > 0]).max() < 1e-7
 
 
+def test_op1_greedy_fills_sequences_with_what_is_there():
+    rng = np.random.default_rng(3)
+    for histogram in ({int(k): int(n) for k, n in zip(rng.permutation(63)[:40] + 1, rng.integers(1, 50, 40), strict=True)}, {63: 500}, {1: 10_000_000_000, 60: 7}, {}):
+        rows, sequences = packing.greedy(dict(histogram), 64)
+        used, tokens = Counter(), 0
+        for k, a, b, each, first, offset, taken in rows:
+            assert a == used[k] and (b - a) % each == 0 and offset + (each - 1) * k + taken <= 64 and (each == 1 or taken == k)
+            used[k] = b
+            tokens += (b - a) * taken
+        assert all(used[k] <= n for k, n in histogram.items()) and tokens == 64 * sequences and len(rows) < 1000
+        assert sum((n - used[k]) * k for k, n in histogram.items()) < 64  # what is left does not fill one more
+        if sum(histogram.values()) < 10_000:
+            places = sorted((first + i // each, offset + i % each * k, taken) for k, a, b, each, first, offset, taken in rows for i in range(b - a))
+            for number, pieces in itertools.groupby(places, key=lambda x: x[0]):
+                pieces = list(pieces)
+                assert [o for _, o, _ in pieces] == [0, *itertools.accumulate(t for _, _, t in pieces)][:-1] and sum(t for _, _, t in pieces) == 64
+
+
+def test_op1_words_of_one_hash_are_told_apart(monkeypatch):
+    encode = packing.WordEncoder(packing.public_tokenizers.path("word_bpe_49k.json"))
+    text = pa.array(["one two three two antidisestablishment antidisestablishing one", "two one"])
+    want = [x.tolist() for x in encode(text, 2)]
+    monkeypatch.setattr(packing.Words, "hash", property(lambda self: np.full(len(self), 5, np.uint64)))
+    encode._clear()
+    for _ in range(2):
+        assert [x.tolist() for x in encode(text, 2)] == want
+
+
 def test_op2_shards(docs, pairs, nothing, spark):
     doubled = docs.union(docs)
     rows = shards.assign(doubled, buckets=4).collect()
