@@ -71,17 +71,11 @@ class WordEncoder:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
-    @classmethod
-    def drop(cls) -> None:
-        """Forget the encoders of this process: the worker goes on to other stages."""
-        cls._kept.clear()
-        trim()
-
-    def __init__(self, path: str, slots: int = 1 << 20, pool: int = 4_000_000) -> None:
+    def __init__(self, path: str, slots: int = 1 << 21, pool: int = 8_000_000, chunk: int = 256) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.slots, self.pool = Tokenizer.from_file(path), slots, pool
+        self.tokenizer, self.slots, self.pool, self.chunk = Tokenizer.from_file(path), slots, pool, chunk
         self._clear()
 
     def _clear(self) -> None:
@@ -107,12 +101,21 @@ class WordEncoder:
         self.used += len(ids)
         return np.arange(first, self.entries)
 
-    def _encode(self, words: list[str]) -> np.ndarray:
+    def _encode(self, words: Words, at: np.ndarray) -> np.ndarray:
+        """Adds entries of the words at `at`, encoded as one text after the other; where in a text an id stands tells its word."""
+        length = (words.end - words.start)[at]
+        begin = np.cumsum(length + 1) - length - 1
+        joined = np.full(int(length.sum()) + len(at), 32, dtype=np.uint8)
+        joined[np.repeat(begin, length) + np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length)] = words.data[np.repeat(words.start[at] - np.cumsum(length) + length, length) + np.arange(length.sum())]
+        chars = np.concatenate(([0], np.cumsum((joined & 0xC0) != 0x80)))
+        first, text = chars[begin], joined.tobytes().decode()
         flat, size = [], []
-        for at in range(0, len(words), 1024):
-            got = [x.ids for x in self.tokenizer.encode_batch_fast(words[at : at + 1024], add_special_tokens=False)]
-            size.append(np.fromiter(map(len, got), np.int64, len(got)))
-            flat.append(np.fromiter((i for x in got for i in x), np.uint32, int(size[-1].sum())))
+        for a in range(0, len(at), self.chunk):
+            z = min(a + self.chunk, len(at))
+            got = self.tokenizer.encode(text[first[a] : first[z] if z < len(at) else None], add_special_tokens=False)
+            starts = np.fromiter((x for x, _ in got.offsets), np.int64, len(got))
+            size.append(np.bincount(np.searchsorted(first[a:z] - first[a], starts, side="right") - 1, minlength=z - a))
+            flat.append(np.array(got.ids, dtype=np.uint32))
         return self._enter(np.concatenate(flat), np.concatenate(size))
 
     def __call__(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
@@ -131,7 +134,7 @@ class WordEncoder:
                 back[~alike] = len(first) + np.arange((~alike).sum())
                 first = np.concatenate((first, np.flatnonzero(~alike)))
             at = missing[first]
-            new = self._encode([words.text(k).decode() for k in at])
+            new = self._encode(words, at)
             which[missing] = new[back]
             free = self.entry[slot[at]] < 0
             at, new = at[free][::-1], new[free][::-1]  # of several words of a slot the first stays
@@ -202,7 +205,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int, window: int, units:
                 yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns.values()], list(columns))
                 before, full = before + len(ids), full + int(whole.sum())
         os.replace(temporary, files.path(task))
-        WordEncoder.drop()
+        trim()
 
     schema = f"doc_id {kind}, n long, task int, at long, width int, full long, units int, rank long"
     # the places are of one run of the pass, so it is written before anything else reads it
