@@ -15,7 +15,16 @@ def _masks(a: Sequence) -> dict:
 
 
 def edit_distance(a: Sequence, b: Sequence) -> int:
-    """Levenshtein distance of two sequences (code points or tokens), one whole column of the table per step."""
+    """Levenshtein distance of two sequences (code points or tokens), one whole column of the table per step; what both begin and end with is passed over."""
+    if a == b:
+        return 0
+    begin, most = 0, min(len(a), len(b))
+    while begin < most and a[begin] == b[begin]:
+        begin += 1
+    end = 0
+    while end < most - begin and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[begin : len(a) - end], b[begin : len(b) - end]
     if not a or not b:
         return len(a) or len(b)
     masks, full, top = _masks(a), (1 << len(a)) - 1, 1 << (len(a) - 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -25,6 +26,7 @@ FOLD_ONE = {
 }
 FOLD_MANY = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "…": "..."}
 FOLD_GONE = "\u2022\uf0b7"
+_FOLD = str.maketrans({**FOLD_ONE, **FOLD_MANY, **dict.fromkeys(FOLD_GONE)})
 
 _SPACE = r"(?U)[\s\x1c-\x1f]+"
 
@@ -79,11 +81,11 @@ def ws_lines(c: Column) -> Column:
 
 def norm_chars(c: Column) -> Column:
     """All but white space and list markers."""
-    return F.regexp_replace(c, "(?U)[\\s\u2022]", "")
+    return F.regexp_replace(c, "(?U)[\\s\x1c-\x1f\u2022\uf0b7]", "")
 
 
 def strip_marker(c: Column) -> Column:
-    return F.regexp_replace(c, "^(\uf0b7|\u2022) *", "")
+    return F.regexp_replace(c, "(?U)^[\u2022\uf0b7][\\s\x1c-\x1f]*", "")
 
 
 def is_tick(c: Column) -> Column:
@@ -95,14 +97,24 @@ def fmt3(c: Column) -> Column:
     return F.when(c.isNull(), "—").otherwise(F.format_string("%.3f", c))
 
 
+#: Texts of at most so many characters are compared in the JVM.
+SHORT = 200
+
+
 @F.pandas_udf(T.LongType())
-def char_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+def _long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([0 if x is None or y is None or max(len(x), len(y)) <= SHORT else edit_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
+
+
+def char_distance(a: Column, b: Column) -> Column:
+    """Edit distance in code points: in the JVM for short texts, bit-parallel over whole texts for others."""
+    short = F.greatest(F.length(a), F.length(b)) <= SHORT
+    return F.when(a == b, F.lit(0).cast("long")).when(short, F.levenshtein(a, b).cast("long")).otherwise(_long_distance(a, b))
 
 
 @F.pandas_udf(T.LongType())
 def token_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([edit_distance(x.split(), y.split()) for x, y in zip(a, b, strict=True)], dtype="int64")
+    return pd.Series([0 if x == y else edit_distance(x.split(), y.split()) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
 @F.pandas_udf(T.LongType())
@@ -110,6 +122,22 @@ def common_chars(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([len(x) if x == y else common_length(x, y) for x, y in zip(a, b, strict=True)], dtype="int64")
 
 
+def plain(text: str | None, level: str = "L1") -> str:
+    """`normalize` of one text, for code that runs in Python anyway."""
+    out = unicodedata.normalize("NFC", text or "")
+    if level != "L0":
+        out = out.translate(_FOLD)
+    out = " ".join(out.split())
+    return out.casefold() if level == "L2" else out
+
+
+@lru_cache(maxsize=100_000)
+def plain_cell(text: str | None, level: str = "L1") -> str:
+    """`norm_cell` of one text."""
+    out = plain(text, level)
+    return "" if out and not out.strip("-–— ") else out
+
+
 def _rate(distance: Column, size: Column, other: Column) -> Column:
     return F.when(size == 0, F.when(other == 0, 0.0).otherwise(1.0)).otherwise(distance.cast("double") / size)
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.kernels import align, assign, ratio
 
@@ -17,12 +19,13 @@ def _kinds(df: DataFrame, keys: Sequence[str]) -> str:
     return ", ".join(f"{k} {kinds[k]}" for k in keys)
 
 
-def similarity_matrix(a: list[str], b: list[str]) -> np.ndarray:
-    """Similarity of all pairs; equal texts are compared once."""
-    known: dict[tuple[str, str], float] = {}
+def similarity_matrix(a: list[str], b: list[str], known: dict[tuple[str, str], float] | None = None) -> np.ndarray:
+    """Similarity of all pairs; equal texts are compared once, and not again if known already."""
+    known = {} if known is None else known
     for x in set(a):
         for y in set(b):
-            known[x, y] = 1.0 if x == y else ratio(x, y)
+            if (x, y) not in known:
+                known[x, y] = 1.0 if x == y else ratio(x, y)
     return np.array([[known[x, y] for y in b] for x in a]).reshape(len(a), len(b))
 
 
@@ -64,12 +67,22 @@ def pair_textless(gold: DataFrame, pred: DataFrame, keys: Sequence[str]) -> Data
     return g.join(p, [*keys, "kind", "k"]).select(*keys, "gold_ix", "pred_ix")
 
 
-def reading_order_tau(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, tau: Kendall's tau of the paired indices, scaled to 0..1; 1 for fewer than two pairs.
+@F.pandas_udf(T.DoubleType())
+def tau_of(places: pd.Series) -> pd.Series:
+    """Kendall's tau of each list with its own order, scaled to 0..1; 1 for fewer than two entries."""
 
-    Pairs of blocks of one page are compared inside one array, so no pair becomes a row.
-    """
+    def one(p: Sequence[int]) -> float:
+        n, total, seen = len(p), 0, []
+        for y in p:  # those before that are smaller, less those that are larger
+            low, high = bisect_left(seen, y), bisect_right(seen, y)
+            total += low - (len(seen) - high)
+            seen.insert(high, y)
+        return 1.0 if n < 2 else (total / (n * (n - 1) / 2) + 1) / 2
+
+    return places.map(lambda p: 1.0 if p is None else one(p))
+
+
+def reading_order_tau(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, tau: Kendall's tau of the paired indices, scaled to 0..1; 1 for fewer than two pairs."""
     rows = pairs.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("gold_ix", "pred_ix"))), lambda x: x["pred_ix"]).alias("p"))
-    signs = F.aggregate(F.transform("p", lambda x, i: F.aggregate(F.slice("p", i + 2, F.greatest(F.size("p") - i - 1, F.lit(0))), F.lit(0).cast("long"), lambda a, y: a + F.signum(y - x).cast("long"))), F.lit(0).cast("long"), lambda a, x: a + x)
-    n = F.size("p")
-    return rows.select(*keys, F.when(n < 2, 1.0).otherwise((signs / (n * (n - 1) / 2) + 1) / 2).alias("tau"))
+    return rows.select(*keys, tau_of("p").alias("tau"))

@@ -23,9 +23,13 @@ def flat_header(cells: DataFrame) -> DataFrame:
     return cells.withColumn("rowspan", F.lit(1)).withColumn("colspan", F.lit(1))
 
 
-def noisy_text(text: F.Column, seed: F.Column, one_in: int = 50) -> F.Column:
-    """One character in `one_in` replaced by one of the alphabet, by a generator that starts from the md5 of seed."""
-    start = F.conv(F.substring(F.md5(seed.cast("string")), 1, 8), 16, 10).cast("long")
+def noise_seed(key: F.Column) -> F.Column:
+    """Where the generator of noise starts, from the md5 of key; a column of its own, so that it is hashed once for a text."""
+    return F.conv(F.substring(F.md5(key.cast("string")), 1, 8), 16, 10).cast("long")
+
+
+def noisy_text(text: F.Column, start: F.Column, one_in: int = 50) -> F.Column:
+    """One character in `one_in` replaced by one of the alphabet, by a generator that starts from a seed."""
     chars = F.filter(F.split(text, ""), lambda c: c != "")
 
     def one(c, i):
@@ -44,6 +48,12 @@ def merged_paragraphs(blocks: DataFrame, keys: list[str]) -> DataFrame:
     return runs.groupBy(*keys, "run").agg(F.min("block_ix").alias("block_ix"), F.min("type").alias("type"), F.when(F.count("text") > 0, joined).alias("text")).drop("run")
 
 
+def no_chart_labels(chart: F.Column) -> F.Column:
+    """A chart that was found, and nothing in it read."""
+    out = chart.withField("labels", F.array().cast("array<string>")).withField("n", F.lit(0).cast("long"))
+    return out.withField("by_class", F.create_map().cast("map<string,bigint>")).withField("x", F.lit(None).cast("string")).withField("y", F.lit(None).cast("string"))
+
+
 def half_labels(labels: DataFrame, keys: list[str], label: str) -> DataFrame:
     """The half, rounded down, of each key's labels that come first by md5."""
     w = Window.partitionBy(*keys)

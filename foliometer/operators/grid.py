@@ -1,27 +1,54 @@
-"""Tables as cells: span expansion, header inference, variants, topology, and the two-pass grid similarity."""
+"""Tables as cells: span expansion, header inference, variants, topology, and the two-pass grid similarity.
+
+A table's declared shape (n_rows, n_cols) may be larger or smaller than what its cells
+cover. Where a function takes `shape`, that is the declared one; without it the shape
+is what the cells reach. Cells count in the order of `pos`, if they have it, else by row and column.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.kernels import align, ratio
 from ..functions.text import norm_cell
 
+CELL = ("row", "col", "rowspan", "colspan", "text", "is_header")
+
 
 def shapes(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
     return cells.groupBy(*keys).agg(F.max(F.col("row") + F.col("rowspan")).alias("n_rows"), F.max(F.col("col") + F.col("colspan")).alias("n_cols"))
 
 
-def expand_grid(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, r, c, text, rowspan, colspan, is_header at each place that a cell covers; of overlapping cells the last by (row, col)."""
-    covered = cells.select(*keys, "row", "col", "text", "rowspan", "colspan", "is_header", F.explode(F.sequence("row", F.col("row") + F.col("rowspan") - 1)).alias("r"))
-    covered = covered.select("*", F.explode(F.sequence("col", F.col("col") + F.col("colspan") - 1)).alias("c"))
-    last = covered.groupBy(*keys, "r", "c").agg(F.max_by(F.struct("text", "rowspan", "colspan", "is_header"), F.struct("row", "col")).alias("cell"))
-    return last.select(*keys, "r", "c", "cell.*")
+def _order(cells: DataFrame) -> Column:
+    return F.struct("pos") if "pos" in cells.columns else F.struct("row", "col")
+
+
+def _upto(low: Column, high: Column) -> Column:
+    """low, low + 1, ... under high."""
+    return F.when(low < high, F.sequence(low, high - 1)).otherwise(F.array().cast("array<int>"))
+
+
+def expand_grid(cells: DataFrame, keys: Sequence[str], shape: DataFrame | None = None) -> DataFrame:
+    """keys, r, c, text, rowspan, colspan, is_header at each place of the shape.
+
+    Spans are cut at its edge; of cells that overlap the last counts; a place that no cell covers is an empty cell of its own.
+    """
+    shape = (shapes(cells, keys) if shape is None else shape).select(*keys, "n_rows", "n_cols")
+    cell = F.struct("text", "rowspan", "colspan", "is_header")
+    inside = cells.join(shape, [*keys])
+    covered = inside.select(*keys, "col", "colspan", "n_cols", _order(cells).alias("o"), cell.alias("cell"), F.explode(_upto(F.col("row"), F.least(F.col("row") + F.col("rowspan"), F.col("n_rows")))).alias("r"))
+    covered = covered.select(*keys, "r", F.explode(_upto(F.col("col"), F.least(F.col("col") + F.col("colspan"), F.col("n_cols")))).alias("c"), "o", "cell")
+    zero = F.lit(0)
+    places = shape.select(*keys, F.explode(_upto(zero, F.col("n_rows"))).alias("r"), "n_cols").select(*keys, "r", F.explode(_upto(zero, F.col("n_cols"))).alias("c"), F.lit(None).cast(covered.schema["o"].dataType).alias("o"), F.lit(None).cast(covered.schema["cell"].dataType).alias("cell"))
+    last = covered.unionByName(places).groupBy(*keys, "r", "c").agg(F.max_by("cell", "o").alias("cell"))
+    value = lambda n, default: F.coalesce(F.col(f"cell.{n}"), F.lit(default)).alias(n)
+    return last.select(*keys, "r", "c", value("text", ""), value("rowspan", 1), value("colspan", 1), value("is_header", False))
 
 
 def line_texts(grid: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
@@ -31,13 +58,29 @@ def line_texts(grid: DataFrame, keys: Sequence[str], by: str) -> DataFrame:
     return grid.withColumn("norm", norm_cell(F.col("text"))).groupBy(*keys, by).agg(F.array_join(F.transform(items, lambda x: x["norm"]), " | ").alias("line_text"))
 
 
-def tsv(cells: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """keys, tsv: anchors only, tabs between columns and line breaks between rows."""
-    shape = shapes(cells, keys)
-    places = shape.select(*keys, "n_rows", F.explode(F.sequence(F.lit(0), F.col("n_rows") - 1)).alias("row"), "n_cols").select(*keys, "row", F.explode(F.sequence(F.lit(0), F.col("n_cols") - 1)).alias("col"))
-    full = places.join(cells.select(*keys, "row", "col", "text"), [*keys, "row", "col"], "left")
-    rows = full.groupBy(*keys, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("col", F.coalesce("text", F.lit("")).alias("t")))), lambda x: x["t"]), "\t").alias("line"))
-    return rows.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]), "\n").alias("tsv"))
+def tsv(cells: DataFrame, keys: Sequence[str], shape: DataFrame | None = None) -> DataFrame:
+    """keys, tsv: anchors only, tabs between columns and line breaks between rows of the shape.
+
+    Each table's cells become a map by place in one aggregation, so no place that is empty becomes a row.
+    """
+    own = cells.groupBy(*keys).agg(F.max(F.col("row") + F.col("rowspan")).alias("n_rows"), F.max(F.col("col") + F.col("colspan")).alias("n_cols"), F.array_sort(F.collect_list(F.struct("row", "col", *(["pos"] if "pos" in cells.columns else []), F.coalesce("text", F.lit("")).alias("text")))).alias("cells"))
+    if shape is not None:
+        own = own.drop("n_rows", "n_cols").join(shape.select(*keys, "n_rows", "n_cols"), [*keys])
+    zero = F.lit(0)
+
+    def line(r: Column) -> Column:
+        # a row's anchors in order of their columns; of two at one place the last
+        anchors = F.filter("cells", lambda x: (x["row"] == r) & (x["col"] < F.col("n_cols")))
+        at = lambda c: F.coalesce(F.try_element_at(F.filter(anchors, lambda x: x["col"] == c), F.lit(-1))["text"], F.lit(""))
+        return F.array_join(F.transform(_upto(zero, F.col("n_cols")), at), "\t")
+
+    return own.select(*keys, F.array_join(F.transform(_upto(zero, F.col("n_rows")), line), "\n").alias("tsv"))
+
+
+def shape_match(gold: DataFrame, pred: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """keys, shape_match: 1 where both sides (keys, n_rows, n_cols) declare the same shape."""
+    p = pred.select(*keys, F.col("n_rows").alias("pr"), F.col("n_cols").alias("pc"))
+    return gold.join(p, [*keys]).select(*keys, ((F.col("n_rows") == F.col("pr")) & (F.col("n_cols") == F.col("pc"))).cast("double").alias("shape_match"))
 
 
 def infer_headers(cells: DataFrame, keys: Sequence[str], header_rows: F.Column) -> DataFrame:
@@ -47,71 +90,141 @@ def infer_headers(cells: DataFrame, keys: Sequence[str], header_rows: F.Column)
     return cells.withColumn("inferred", none & (header_rows > 0)).withColumn("is_header", F.when(F.col("inferred"), F.col("row") < header_rows).otherwise(F.col("is_header")))
 
 
-def ambiguity_variants(cells: DataFrame, refs: Sequence[str]) -> DataFrame:
-    """cells as encoded, and again with the labels below empty places of the first row raised into them over two rows."""
-    cols = [int(x.split("/col")[1]) for x in refs if "/col" in x and x.split("/col")[1].isdigit()]
-    named = F.col("col").isin(cols)
-    lifted = cells.where(~((F.col("row") == 0) & named & (F.coalesce("text", F.lit("")) == "")))
+def _columns_of(refs: Column) -> Column:
+    """The columns that references row0/colK name; others are passed over."""
+    numbers = F.transform(refs, lambda x: F.regexp_extract(x, "/col([0-9]+)$", 1))
+    return F.transform(F.filter(numbers, lambda x: x != ""), lambda x: x.cast("int"))
+
+
+def ambiguity_variants(cells: DataFrame, ambiguities: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """cells with variant and reading: 0 as encoded, and from 1 one for each ambiguity whose alternative is a label over two rows.
+
+    ambiguities: keys, reading (from 1), cells (references), accepted_alternative. In the alternative the labels under the empty
+    places of the first row are raised into them. A table without such an ambiguity has its encoded reading only.
+    """
+    own = ambiguities.where(F.col("accepted_alternative").contains("rowspan=2")).select(*keys, "reading", _columns_of(F.col("cells")).alias("_cols")).where("size(_cols) > 0")
+    both = cells.join(own, [*keys])
+    named = F.array_contains("_cols", F.col("col"))
+    lifted = both.where(~((F.col("row") == 0) & named & (F.coalesce("text", F.lit("")) == "")))
     raised = (F.col("row") == 1) & named
-    lifted = lifted.withColumn("rowspan", F.when(raised, 2).otherwise(F.col("rowspan"))).withColumn("row", F.when(raised, 0).otherwise(F.col("row")))
-    return cells.withColumn("variant", F.lit("as_encoded")).unionByName(lifted.withColumn("variant", F.lit("rowspan2_alternative")))
-
-
-def topology(cells: DataFrame, keys: Sequence[str], n_rows: str = "n_rows", n_cols: str = "n_cols") -> DataFrame:
-    """keys, rule, n: spans that leave the grid, places covered twice, places not covered. cells carry the declared shape."""
-    out_of = cells.where((F.col("row") + F.col("rowspan") > F.col(n_rows)) | (F.col("col") + F.col("colspan") > F.col(n_cols))).groupBy(*keys).agg(F.count("*").alias("n")).withColumn("rule", F.lit("span_exits_grid"))
-    at = cells.select(*keys, n_rows, n_cols, F.explode(F.sequence("row", F.col("row") + F.col("rowspan") - 1)).alias("r"), "col", "colspan")
-    at = at.select(*keys, n_rows, n_cols, "r", F.explode(F.sequence("col", F.col("col") + F.col("colspan") - 1)).alias("c")).where((F.col("r") < F.col(n_rows)) & (F.col("c") < F.col(n_cols)))
-    cover = at.groupBy(*keys, n_rows, n_cols, "r", "c").agg(F.count("*").alias("k"))
-    twice = cover.where("k > 1").groupBy(*keys).agg(F.count("*").alias("n")).withColumn("rule", F.lit("double_cover"))
-    holes = cover.groupBy(*keys, n_rows, n_cols).agg(F.count("*").alias("have")).where(f"have < {n_rows} * {n_cols}").select(*keys, (F.col(n_rows) * F.col(n_cols) - F.col("have")).alias("n"), F.lit("hole").alias("rule"))
-    return out_of.unionByName(twice).unionByName(holes)
-
-
-def _grid(cells: pd.DataFrame) -> list[list[tuple]]:
-    if not len(cells):
-        return []
-    n, m = int((cells.row + cells.rowspan).max()), int((cells.col + cells.colspan).max())
-    out = [[("", 1, 1, False)] * m for _ in range(n)]
-    for c in cells.sort_values(["row", "col"]).itertuples():
-        for r in range(c.row, c.row + c.rowspan):
-            for k in range(c.col, c.col + c.colspan):
-                out[r][k] = (c.norm, c.rowspan, c.colspan, bool(c.is_header))
+    lifted = lifted.withColumn("rowspan", F.when(raised, 2).otherwise(F.col("rowspan"))).withColumn("row", F.when(raised, 0).otherwise(F.col("row"))).drop("_cols")
+    return cells.withColumn("reading", F.lit(0)).withColumn("variant", F.lit("as_encoded")).unionByName(lifted.withColumn("variant", F.lit("rowspan2_alternative")))
+
+
+def topology(cells: DataFrame, keys: Sequence[str], n_rows: str = "n_rows", n_cols: str = "n_cols", header_rows: str | None = None) -> DataFrame:
+    """keys, rule, n: spans that leave the grid, places covered twice, places not covered, and cells of header rows without the flag.
+
+    cells carry the declared shape and, where header_rows names it, the declared number of header rows. A cell that leaves the grid covers nothing.
+    """
+    leaves = (F.col("row") + F.col("rowspan") > F.col(n_rows)) | (F.col("col") + F.col("colspan") > F.col(n_cols))
+    out_of = cells.where(leaves).groupBy(*keys).agg(F.count("*").alias("n")).withColumn("rule", F.lit("span_exits_grid"))
+    at = cells.select(*keys, n_rows, n_cols, leaves.alias("leaves"), F.explode(F.sequence("row", F.col("row") + F.col("rowspan") - 1)).alias("r"), "col", "colspan")
+    at = at.select(*keys, n_rows, n_cols, "leaves", "r", F.explode(F.sequence("col", F.col("col") + F.col("colspan") - 1)).alias("c"))
+    cover = at.groupBy(*keys, n_rows, n_cols, "r", "c").agg(F.count(F.when(~F.col("leaves"), 1)).alias("_k"))
+    twice = cover.where("_k > 1").groupBy(*keys).agg(F.count("*").alias("n")).withColumn("rule", F.lit("double_cover"))
+    holes = cover.groupBy(*keys, n_rows, n_cols).agg(F.count(F.when(F.col("_k") > 0, 1)).alias("have")).where(f"have < {n_rows} * {n_cols}").select(*keys, (F.col(n_rows) * F.col(n_cols) - F.col("have")).cast("long").alias("n"), F.lit("hole").alias("rule"))
+    found = out_of.unionByName(twice).unionByName(holes)
+    if header_rows is None:
+        return found
+    unflagged = cells.where((F.col("row") < F.col(header_rows)) & ~F.coalesce("is_header", F.lit(False))).groupBy(*keys).agg(F.count("*").alias("n")).withColumn("rule", F.lit("header_flag"))
+    return found.unionByName(unflagged)
+
+
+def fill_gaps(cells: DataFrame, keys: Sequence[str], shape: DataFrame) -> DataFrame:
+    """keys, row, col of the places that no cell covers; raises if two cells of a table start at one place."""
+    starts = cells.groupBy(*keys, "row", "col").agg(F.count("*").alias("_k"))
+    once = starts.select(*keys, F.assert_true(F.col("_k") == 1, F.concat(F.lit("two cells at row "), F.col("row").cast("string"), F.lit(", column "), F.col("col").cast("string"))).alias("ok"))
+    unique = once.groupBy(*keys).agg(F.count("ok").alias("_bad"))
+    grid = expand_grid(cells.withColumn("is_header", F.lit(True)), keys, shape)
+    return grid.where(~F.col("is_header")).join(unique, [*keys]).where("_bad = 0").select(*keys, F.col("r").alias("row"), F.col("c").alias("col"))
+
+
+# -- one table at a time, in Python
+
+
+def grid_of(cells: Sequence[dict], n_rows: int, n_cols: int) -> list[list[tuple]]:
+    """(normalised text, rowspan, colspan, is header) at each place; cells in list order, the last counts."""
+    out = [[("", 1, 1, False)] * n_cols for _ in range(n_rows)]
+    for c in cells:
+        value = (c["norm"], c["rowspan"], c["colspan"], bool(c["is_header"]))
+        for line in out[c["row"] : c["row"] + c["rowspan"]]:
+            upto = min(c["col"] + c["colspan"], n_cols)
+            line[c["col"] : upto] = [value] * max(upto - c["col"], 0)
     return out
 
 
+def variants_of(cells: Sequence[dict], ambiguities: Sequence[dict] | None) -> Iterator[tuple[str, list[dict]]]:
+    """The readings of a table that count as right, as `ambiguity_variants` has them."""
+    yield "as_encoded", list(cells)
+    for a in ambiguities if ambiguities is not None else ():
+        named = {int(x.rpartition("/col")[2]) for x in a["cells"] if x.rpartition("/col")[2].isdecimal() and "/col" in x}
+        if named and "rowspan=2" in (a["accepted_alternative"] or ""):
+            kept = [c for c in cells if not (c["row"] == 0 and c["col"] in named and not c["text"])]
+            yield "rowspan2_alternative", [{**c, "row": 0, "rowspan": 2} if c["row"] == 1 and c["col"] in named else c for c in kept]
+
+
+def bag_score(gold: Counter, pred: Counter) -> float:
+    """F1 of two multisets; an empty one is right only if the other is empty."""
+    if not gold or not pred:
+        return float(not gold and not pred)
+    return 2 * (gold & pred).total() / (gold.total() + pred.total())
+
+
 def grid_similarity(gold: list[list[tuple]], pred: list[list[tuple]], least: float = 0.35) -> tuple[float, float]:
     """Content and topology similarity: rows aligned by their text, columns by theirs, cells at the aligned places; 0 for an empty grid."""
     size = sum(map(len, gold)) + sum(map(len, pred))
     if not sum(map(len, gold)) or not sum(map(len, pred)):
         return 0.0, 0.0
-    joined = lambda lines: [" | ".join(c[0] for c in x) for x in lines]
+    if gold == pred:  # every row and column has its like, in order
+        return 1.0, 1.0
     known: dict[tuple[str, str], float] = {}
 
     def alike(a: str, b: str) -> float:
+        if a == b:
+            return 1.0
         if (a, b) not in known:
-            known[a, b] = 1.0 if a == b else ratio(a, b)
+            known[a, b] = ratio(a, b)
         return known[a, b]
 
-    pairs = []
-    for a, b in ((joined(gold), joined(pred)), (joined(zip(*gold, strict=True)), joined(zip(*pred, strict=True)))):
-        pairs.append(align(len(a), len(b), lambda i, j, a=a, b=b: alike(a[i], b[j]), least))
-    con = top = 0.0
-    for i, j in pairs[0]:
-        for p, q in pairs[1]:
-            con += alike(gold[i][p][0], pred[j][q][0])
-            top += gold[i][p][1:] == pred[j][q][1:]
+    texts, rest = [], []
+    for side in (gold, pred):
+        texts.append(np.array([[c[0] for c in line] for line in side], dtype=object))
+        spans = {x: i for i, x in enumerate(sorted({c[1:] for line in side for c in line}))}
+        rest.append((np.array([[spans[c[1:]] for c in line] for line in side]), list(spans)))
+    places = []
+    for turned in (False, True):
+        a, b = ([" | ".join(line) for line in (x.T if turned else x)] for x in texts)
+        places.append(np.array(align(len(a), len(b), lambda i, j, a=a, b=b: alike(a[i], b[j]), least), dtype=np.int64).reshape(-1, 2).T)
+    (gr, pr), (gc, pc) = places
+    ours, theirs = texts[0][np.ix_(gr, gc)], texts[1][np.ix_(pr, pc)]
+    same = ours == theirs
+    con = float(same.sum()) + sum(alike(x, y) for x, y in zip(ours[~same], theirs[~same], strict=True))
+    equal = np.array([[x == y for y in rest[1][1]] for x in rest[0][1]])
+    top = float(equal[rest[0][0][np.ix_(gr, gc)], rest[1][0][np.ix_(pr, pc)]].sum())
     return 2 * con / size, 2 * top / size
 
 
-def grits(gold: DataFrame, pred: DataFrame, keys: Sequence[str]) -> DataFrame:
+def grits(gold: DataFrame, pred: DataFrame, keys: Sequence[str], gold_shape: DataFrame | None = None, pred_shape: DataFrame | None = None) -> DataFrame:
     """keys, grits_con, grits_top for tables of either side; one Python call per pair of tables."""
     kinds = {f.name: f.dataType.simpleString() for f in gold.schema.fields}
-    columns = [*keys, "row", "col", "rowspan", "colspan", "norm", "is_header"]
+
+    def grid_in(table: pd.DataFrame) -> list[list[tuple]]:
+        if not len(table):
+            return []
+        order = ["pos"] if "pos" in table else ["row", "col"]
+        return grid_of(table.sort_values(order).to_dict("records"), int(table.n_rows.iloc[0]), int(table.n_cols.iloc[0]))
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        con, top = grid_similarity(_grid(a), _grid(b))
+        con, top = grid_similarity(grid_in(a), grid_in(b))
         return pd.DataFrame([[*key, con, top]], columns=[*keys, "grits_con", "grits_top"])
 
-    sides = [x.withColumn("norm", norm_cell(F.col("text"))).select(*columns).groupBy(*keys) for x in (gold, pred)]
+    sides = []
+    for cells, shape in ((gold, gold_shape), (pred, pred_shape)):
+        own = cells.withColumn("norm", norm_cell(F.col("text")))
+        if shape is None:  # what the cells reach, within the group's own sort
+            table = Window.partitionBy(*keys)
+            own = own.withColumn("n_rows", F.max(F.col("row") + F.col("rowspan")).over(table)).withColumn("n_cols", F.max(F.col("col") + F.col("colspan")).over(table))
+        else:
+            own = own.join(shape.select(*keys, "n_rows", "n_cols"), [*keys])
+        sides.append(own.groupBy(*keys))
     return sides[0].cogroup(sides[1]).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", grits_con double, grits_top double")

@@ -10,13 +10,18 @@ from pyspark.sql import functions as F
 from ..functions.text import prf
 
 
-def set_prf(gold: DataFrame, pred: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """keys, tp, fp, fn, precision, recall, f1 over distinct values; keys of either side."""
+def set_prf(gold: DataFrame, pred: DataFrame, keys: Sequence[str], value: str, examples: int = 0) -> DataFrame:
+    """keys, tp, fp, fn, precision, recall, f1 over distinct values; keys of either side.
+
+    With examples, also missed and spurious: so many values of one side only, the smallest.
+    """
     both = gold.select(*keys, value, F.lit(1).alias("g"), F.lit(0).alias("p")).union(pred.select(*keys, value, F.lit(0), F.lit(1)))
     seen = both.groupBy(*keys, value).agg(F.max("g").alias("g"), F.max("p").alias("p"))
-    counts = seen.groupBy(*keys).agg(F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum("p").alias("np"), F.sum("g").alias("ng"))
+    only = lambda one, other, name: F.slice(F.array_sort(F.collect_list(F.when((F.col(one) == 1) & (F.col(other) == 0), F.col(value)))), 1, examples).alias(name)
+    named = [only("g", "p", "missed"), only("p", "g", "spurious")] if examples else []
+    counts = seen.groupBy(*keys).agg(F.sum(F.col("g") * F.col("p")).alias("tp"), F.sum("p").alias("np"), F.sum("g").alias("ng"), *named)
     p, r, f = prf(F.col("tp"), F.col("ng"), F.col("np"))
-    return counts.select(*keys, "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn"), p.alias("precision"), r.alias("recall"), f.alias("f1"))
+    return counts.select(*keys, "tp", (F.col("np") - F.col("tp")).alias("fp"), (F.col("ng") - F.col("tp")).alias("fn"), p.alias("precision"), r.alias("recall"), f.alias("f1"), *(["missed", "spurious"] if examples else []))
 
 
 def bag_f1(gold: DataFrame, pred: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:

@@ -48,5 +48,11 @@ def composite(scores: DataFrame, weights: DataFrame, keys: Sequence[str]) -> Dat
     return both.groupBy(*keys).agg(F.coalesce(F.sum(F.col("score") * F.col("weight")) / total, F.lit(0.0)).alias("composite"))
 
 
+def compare(composites: DataFrame, keys: Sequence[str], one: str, other: str) -> DataFrame:
+    """keys, gap: the composite of run one less that of run other, for the pages that both have."""
+    a, b = (composites.where(F.col("run") == r).select(*keys, F.col("composite").alias(f"_{i}")) for i, r in enumerate((one, other)))
+    return a.join(b, [*keys]).select(*keys, (F.col("_0") - F.col("_1")).alias("gap"))
+
+
 def pivot_tracks(scores: DataFrame, keys: Sequence[str], tracks: Sequence[str]) -> DataFrame:
     return scores.groupBy(*keys).pivot("track", list(tracks)).agg(F.avg("score"))

@@ -6,13 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import adapters, alignment, grid, layout, quality, tracks
+from ..operators import adapters, alignment, grid, layout, quality
 from ..sources import ir
 from .fixtures import BLOCKS, CELLS, coarse, gold_blocks, gold_cells, read
-from .texts import ascii_pairs
 
 Q: dict[str, tuple] = {}
-TRACKS = ["furniture", "structure", "text"]
 
 # -- sources
 
@@ -37,7 +35,10 @@ Q["run_gold_anti"] = (
     lambda s, sf: ir.joined(parsed(s, sf).withColumn("file_name", F.concat("page_id", F.lit(".json"))), parsed(s, sf).where("doc_id % 3 <> 0").withColumn("file_name", F.concat("page_id", F.lit(".json"))))[1],
     "SELECT doc_id || '.json' AS file_name FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL",
 )
-Q["page_id_guard"] = (lambda s, sf: read(s, sf, "documents").select("doc_id", F.assert_true(F.col("doc_id").isNotNull()).isNull().alias("ok")), "SELECT doc_id, true AS ok FROM documents")
+Q["page_id_guard"] = (
+    lambda s, sf: ir.joined(*[parsed(s, sf).withColumn("file_name", F.concat("page_id", F.lit(".json"))) for _ in range(2)])[0].select("doc_id", (F.col("page_id") == F.col("gold_id")).alias("ok"), F.size("blocks").alias("n")),
+    f"WITH {BLOCKS} SELECT doc_id, true AS ok, count(*)::INTEGER AS n FROM gold_blocks GROUP BY 1",
+)
 Q["lines_filter_sort"] = (
     lambda s, sf: gold_blocks(s, sf).where(F.trim("text") != "").withColumn("ix", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.round("y0", 1), "x0"))).select("doc_id", "ix", F.md5("text").alias("digest")),
     f"WITH {BLOCKS} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY y0, x0)::INTEGER AS ix, md5(text) AS digest FROM gold_blocks WHERE trim(text) <> ''",
@@ -125,60 +126,11 @@ _FOUND = BLOCKS + """, found AS (
 Q["dq_violations"] = (lambda s, sf: quality.violations(dirty(s, sf), 620.0, 1e6).groupBy("page_id", "rule").agg(F.count("*").alias("n")), f"WITH {_FOUND} SELECT doc_id::VARCHAR AS page_id, rule, count(*) AS n FROM found GROUP BY 1, 2")
 Q["dq_summary"] = (lambda s, sf: quality.summary(quality.violations(dirty(s, sf), 620.0, 1e6)), f"WITH {_FOUND} SELECT rule, count(*) AS n, count(DISTINCT doc_id) AS n_pages FROM found GROUP BY 1")
 
-# -- composites over documents as pages; a run for each of two degradations
-
-
-def scores(s, sf) -> DataFrame:
-    """run, doc_id, profile (the language), track, score."""
-    acc = ascii_pairs(s, sf).groupBy("doc_id").agg(F.avg(t.accuracy(t.cer(F.col("g"), F.col("p")))).alias("noisy"))
-    b = gold_blocks(s, sf).withColumn("kind", coarse(F.col("type")))
-    shape = b.groupBy("doc_id").agg(F.avg((F.col("kind") == "text").cast("double")).alias("structure"), F.avg(F.when(F.col("kind") == "furniture", F.lit(1.0))).alias("furniture"))
-    both = shape.join(acc, "doc_id", "left").join(read(s, sf, "documents").select("doc_id", F.col("lang").alias("profile")), "doc_id")
-    rows = F.array(*[F.struct(F.lit(r).alias("run"), F.lit(n).alias("track"), c.alias("score")) for r, n, c in (("noisy_text", "text", F.col("noisy")), ("noisy_text", "structure", F.lit(1.0)), ("noisy_text", "furniture", F.col("furniture")), ("text_only", "text", F.when(F.col("noisy").isNotNull(), 1.0)), ("text_only", "structure", F.col("structure")), ("text_only", "furniture", F.lit(None).cast("double")))])
-    return both.select("doc_id", "profile", F.inline(rows))
-
-
-WEIGHTS = [("en", "text", 0.65), ("en", "structure", 0.35), ("de", "text", 0.5), ("de", "structure", 0.5), ("fr", "structure", 1.0)]
-from .texts import ASCII, NOISY, _cer_sql  # noqa: E402
-
-SCORES = f"""{BLOCKS}, {NOISY}, {ASCII}, acc AS (SELECT doc_id, avg(greatest(0.0, 1 - least(1.0, {_cer_sql}))) AS noisy FROM ascii GROUP BY 1),
-shape AS (SELECT doc_id, avg((type = 'paragraph')::INT) AS structure, CASE WHEN count(*) FILTER (type = 'footer') > 0 THEN 1.0 END AS furniture FROM gold_blocks GROUP BY 1),
-wide AS (SELECT s.doc_id, lang AS profile, structure, furniture, noisy FROM shape s LEFT JOIN acc USING (doc_id) JOIN documents USING (doc_id)),
-scores AS (
-  SELECT doc_id, profile, 'noisy_text' AS run, 'text' AS track, noisy AS score FROM wide UNION ALL SELECT doc_id, profile, 'noisy_text', 'structure', 1.0 FROM wide UNION ALL SELECT doc_id, profile, 'noisy_text', 'furniture', furniture FROM wide
-  UNION ALL SELECT doc_id, profile, 'text_only', 'text', CASE WHEN noisy IS NOT NULL THEN 1.0 END FROM wide UNION ALL SELECT doc_id, profile, 'text_only', 'structure', structure FROM wide UNION ALL SELECT doc_id, profile, 'text_only', 'furniture', NULL FROM wide
-), weights(profile, track, weight) AS (VALUES ('en', 'text', 0.65), ('en', 'structure', 0.35), ('de', 'text', 0.5), ('de', 'structure', 0.5), ('fr', 'structure', 1.0)),
-comp AS (SELECT run, doc_id, coalesce(sum(score * weight) / sum(CASE WHEN weight IS NOT NULL THEN weight END), 0.0) AS composite FROM scores LEFT JOIN weights USING (profile, track) WHERE score IS NOT NULL GROUP BY 1, 2)"""
-
+# -- reports
 
-def composites(s, sf) -> DataFrame:
-    return tracks.composite(scores(s, sf), F.broadcast(s.createDataFrame(WEIGHTS, "profile string, track string, weight double")), ["run", "doc_id"])
-
-
-Q["page_composite"] = (lambda s, sf: composites(s, sf).select("run", "doc_id", F.round("composite", 6).alias("composite")), f"WITH {SCORES} SELECT run, doc_id, round(composite, 6) AS composite FROM comp")
-Q["run_overall"] = (lambda s, sf: composites(s, sf).groupBy("run").agg(F.round(F.avg("composite"), 6).alias("overall"), F.count("*").alias("n_pages")), f"WITH {SCORES} SELECT run, round(avg(composite), 6) AS overall, count(*) AS n_pages FROM comp GROUP BY 1")
-Q["track_means"] = (lambda s, sf: scores(s, sf).groupBy("run", "track").agg(F.round(F.avg("score"), 6).alias("score"), F.count("score").alias("n")), f"WITH {SCORES} SELECT run, track, round(avg(score), 6) AS score, count(score) AS n FROM scores GROUP BY 1, 2")
-_WIDE = ", ".join(f"round(avg(score) FILTER (track = '{x}'), 6) AS {x}" for x in TRACKS)
-Q["pivot_tracks"] = (lambda s, sf: tracks.pivot_tracks(scores(s, sf), ["run"], TRACKS).select("run", *[F.round(x, 6).alias(x) for x in TRACKS]), f"WITH {SCORES} SELECT run, {_WIDE} FROM scores GROUP BY 1")
-Q["pivot_pages"] = (lambda s, sf: tracks.pivot_tracks(scores(s, sf), ["run", "doc_id"], TRACKS).select("run", "doc_id", *[F.round(x, 6).alias(x) for x in TRACKS]), f"WITH {SCORES} SELECT run, doc_id, {_WIDE} FROM scores GROUP BY 1, 2")
-Q["compare_runs"] = (lambda s, sf: composites(s, sf).groupBy("doc_id").pivot("run", ["noisy_text", "text_only"]).agg(F.first("composite")).select("doc_id", F.round(F.col("noisy_text") - F.col("text_only"), 6).alias("gap")), f"WITH {SCORES} SELECT a.doc_id, round(a.composite - b.composite, 6) AS gap FROM comp a LEFT JOIN comp b ON a.doc_id = b.doc_id AND b.run = 'text_only' WHERE a.run = 'noisy_text'")
-Q["diagnostics"] = (lambda s, sf: tracks.pivot_tracks(scores(s, sf), ["run"], TRACKS).select("run", F.concat_ws(" ", *[F.concat(F.lit(x + "="), t.fmt3(F.col(x))) for x in TRACKS]).alias("line")), None)
-Q["calibration_matrix"] = (lambda s, sf: scores(s, sf).groupBy("run").pivot("track", TRACKS).agg(F.round(F.avg("score"), 3)), None)
 Q["track_counts"] = (lambda s, sf: gold_blocks(s, sf).select("doc_id", coarse(F.col("type")).alias("track")).groupBy("doc_id", "track").agg(F.count("*").alias("n_blocks")), f"WITH {BLOCKS} SELECT doc_id, CASE type WHEN 'footer' THEN 'furniture' WHEN 'paragraph' THEN 'text' ELSE type END AS track, count(*) AS n_blocks FROM gold_blocks GROUP BY 1, 2")
 
 
-def text_track(s, sf) -> DataFrame:
-    """doc_id, cer, cer_aligned, order_penalty of each document read from top to bottom."""
-    from .texts import _pairs
-
-    b = _pairs(s, sf).where("kind <> 'furniture' AND text <> ''")
-    side = lambda ix: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(ix, "text"))), lambda x: x["text"]), " ")
-    d = b.groupBy("doc_id").agg(t.normalize(side("block_ix")).alias("g"), t.normalize(side("pred_ix")).alias("p"))
-    d = d.withColumn("cer", t.cer(F.col("g"), F.col("p"))).withColumn("cer_aligned", F.lit(0.0))
-    return d.select("doc_id", F.round("cer", 6).alias("cer"), "cer_aligned", F.round(F.greatest(F.col("cer") - F.col("cer_aligned"), F.lit(0.0)), 6).alias("order_penalty"), F.round(t.accuracy(F.col("cer")), 6).alias("score"))
-
-
-Q["text_track"] = (text_track, None)
 Q["sim_matrix"] = (
     lambda s, sf: read(s, sf, "benchmark").select("item_id", F.explode(F.split(t.normalize(F.col("text")), " ")).alias("w")).distinct().groupBy("item_id").agg(F.collect_list("w").alias("ws")).select("item_id", F.explode("ws").alias("a"), "ws").select("item_id", "a", F.explode("ws").alias("b")).groupBy("item_id").agg(F.round(F.sum(t.similarity(F.col("a"), F.col("b"))), 4).alias("total")),
     None,
@@ -186,14 +138,6 @@ Q["sim_matrix"] = (
 Q["nw_align"] = (lambda s, sf: alignment.align_lines(*[grid.line_texts(grid.expand_grid(gold_cells(s, sf).where(c), ["table_id"]), ["table_id"], "r").select("table_id", F.col("r").cast("long").alias("ix"), F.col("line_text").alias("norm")) for c in ("true", "row <> 2")], ["table_id"]), None)
 
 
-def calibration_checks(s, sf) -> DataFrame:
-    """check, passed: what the degradations have to do to the scores, one row for each claim."""
-    wide = scores(s, sf).groupBy("run").pivot("track", TRACKS).agg(F.avg("score"))
-    claims = {"text_only keeps text": (F.col("run") == "text_only") & (F.abs(F.col("text") - 1) < 1e-9), "text_only loses structure": (F.col("run") == "text_only") & (F.col("structure") < 1), "noisy_text lowers text": (F.col("run") == "noisy_text") & (F.col("text") > 0.9) & (F.col("text") < 0.99), "noisy_text keeps structure": (F.col("run") == "noisy_text") & (F.abs(F.col("structure") - 1) < 1e-9)}
-    return wide.agg(*[F.max(c).alias(n) for n, c in claims.items()]).select(F.inline(F.array(*[F.struct(F.lit(n).alias("check"), F.col(n).alias("passed")) for n in claims])))
-
-
-Q["calibration_checks"] = (calibration_checks, "SELECT unnest(['text_only keeps text', 'text_only loses structure', 'noisy_text lowers text', 'noisy_text keeps structure']) AS \"check\", true AS passed")
 Q["convert_page"] = (
     lambda s, sf: adapters.convert_blocks(nested(s, sf), ["doc_id"], "para_blocks").withColumn("side", F.lit("body")).unionByName(adapters.convert_blocks(nested(s, sf), ["doc_id"], "discarded_blocks", furniture=True).withColumn("side", F.lit("extra"))).groupBy("doc_id").agg(F.count("*").alias("n_blocks"), F.count(F.when(F.col("side") == "extra", 1)).alias("n_furniture")),
     f"""WITH {_RAW} SELECT doc_id, count(*) AS n_blocks, count(*) FILTER (type = 'footer') AS n_furniture FROM raw WHERE type = 'figure' OR trim(coalesce(halves, '')) <> '' GROUP BY 1""",

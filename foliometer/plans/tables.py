@@ -6,8 +6,9 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from ..operators import alignment, chart, degrade, grid, html_table, layout, sets
+from ..operators import alignment, chart, degrade, grid, html_table, layout, scoring, sets
 from .fixtures import BLOCKS, CELLS, CHARTS, charts, gold_blocks, gold_cells, read
+from .texts import NOISY, noisy
 
 KEY = ["table_id"]
 REFS = ["row0/col1", "row0/col3"]
@@ -22,15 +23,29 @@ PRED = CELLS + """, pred_cells AS (
   SELECT table_id, row, col, rowspan, colspan, text, is_header FROM gold_cells WHERE row < 2
   UNION ALL SELECT table_id, row, (row_number() OVER (PARTITION BY table_id, row ORDER BY col) - 1)::INTEGER, rowspan, colspan, text, is_header FROM gold_cells WHERE row >= 2 AND trim(text) NOT IN ('', 'N/A')
 )"""
+PRED_GRID = PRED + """, pred_shape AS (SELECT table_id, max(row + rowspan) AS n_rows, max(col + colspan) AS n_cols FROM pred_cells GROUP BY 1), pred_grid AS (
+  SELECT s.table_id, r::INTEGER AS r, c::INTEGER AS c, coalesce(k.text, '') AS text, k.text IS NULL AS hole FROM pred_shape s, unnest(range(0, s.n_rows)) AS a(r), unnest(range(0, s.n_cols)) AS b(c)
+  LEFT JOIN pred_cells k ON k.table_id = s.table_id AND r >= k.row AND r < k.row + k.rowspan AND c >= k.col AND c < k.col + k.colspan
+)"""
 SHAPES = "shapes AS (SELECT table_id, max(row + rowspan) AS n_rows, max(col + colspan) AS n_cols FROM gold_cells GROUP BY 1)"
 GRID = CELLS + """, grid AS (
   SELECT table_id, r::INTEGER AS r, c::INTEGER AS c, text, rowspan, colspan, is_header FROM gold_cells, unnest(range(row, row + rowspan)) AS a(r), unnest(range(col, col + colspan)) AS b(c)
 )"""
 Q: dict[str, tuple] = {}
 
+
+def _declared(s, sf):
+    """Shapes that cut the last columns of every other table and leave the others two empty ones."""
+    return grid.shapes(gold_cells(s, sf), KEY).withColumn("n_cols", F.when(F.col("table_id") % 2 == 0, 4).otherwise(8))
+
+
 Q["expand_grid"] = (lambda s, sf: grid.expand_grid(gold_cells(s, sf), KEY), f"WITH {GRID} SELECT * FROM grid")
 Q["norm_cell"] = (lambda s, sf: gold_cells(s, sf).select("table_id", "row", "col", t.norm_cell(F.when(F.col("text") == "N/A", "—–-").otherwise(F.col("text"))).alias("norm")), f"WITH {CELLS} SELECT table_id, row, col, CASE WHEN text = 'N/A' THEN '' ELSE text END AS norm FROM gold_cells")
-Q["grid_row_text"] = (lambda s, sf: grid.line_texts(grid.expand_grid(gold_cells(s, sf), KEY), KEY, "r"), f"WITH {GRID} SELECT table_id, r, string_agg(text, ' | ' ORDER BY c) AS line_text FROM grid GROUP BY 1, 2")
+Q["grid_row_text"] = (lambda s, sf: grid.line_texts(grid.expand_grid(_pred(s, sf), KEY), KEY, "r"), f"WITH {PRED_GRID} SELECT table_id, r, string_agg(text, ' | ' ORDER BY c) AS line_text FROM pred_grid GROUP BY 1, 2")
+Q["expand_grid_declared"] = (
+    lambda s, sf: grid.expand_grid(gold_cells(s, sf), KEY, _declared(s, sf)).groupBy("table_id").agg(F.count("*").alias("n"), F.count(F.when(F.col("text") == "", 1)).alias("empty"), F.max("c").alias("last_col")),
+    f"WITH {CELLS}, {SHAPES}, d AS (SELECT table_id, n_rows, CASE WHEN table_id % 2 = 0 THEN 4 ELSE 8 END AS m FROM shapes) SELECT table_id, (n_rows * m)::BIGINT AS n, CASE WHEN m = 8 THEN n_rows * 2 ELSE 0 END::BIGINT AS empty, (m - 1)::INTEGER AS last_col FROM d",
+)
 Q["grid_col_text"] = (lambda s, sf: grid.line_texts(grid.expand_grid(gold_cells(s, sf), KEY), KEY, "c"), f"WITH {GRID} SELECT table_id, c, string_agg(text, ' | ' ORDER BY r) AS line_text FROM grid GROUP BY 1, 2")
 Q["tsv_render"] = (
     lambda s, sf: grid.tsv(gold_cells(s, sf), KEY),
@@ -46,24 +61,36 @@ Q["pad_ragged_rows"] = (
     SELECT table_id, string_agg(line, chr(10) ORDER BY r) AS tsv FROM rows GROUP BY 1""",
 )
 Q["shape_match"] = (
-    lambda s, sf: grid.shapes(gold_cells(s, sf), KEY).join(grid.shapes(_pred(s, sf), KEY).select("table_id", F.col("n_rows").alias("pr"), F.col("n_cols").alias("pc")), KEY).select("table_id", ((F.col("n_rows") == F.col("pr")) & (F.col("n_cols") == F.col("pc"))).cast("double").alias("shape_match")),
-    f"WITH {PRED} SELECT g.table_id, (n = n2 AND m = m2)::INT::DOUBLE AS shape_match FROM (SELECT table_id, max(row + rowspan) AS n, max(col + colspan) AS m FROM gold_cells GROUP BY 1) g JOIN (SELECT table_id, max(row + rowspan) AS n2, max(col + colspan) AS m2 FROM pred_cells GROUP BY 1) USING (table_id)",
+    lambda s, sf: grid.shape_match(grid.shapes(gold_cells(s, sf), KEY), _widest(s, sf), KEY),
+    f"WITH {PRED}, {SHAPES}, wide AS (SELECT table_id, max(k) AS m FROM (SELECT table_id, row, count(*) AS k FROM pred_cells GROUP BY 1, 2) GROUP BY 1) SELECT table_id, (n_cols = m)::INT::DOUBLE AS shape_match FROM shapes JOIN wide USING (table_id)",
 )
+
+
+def _widest(s, sf):
+    """The shape that a prediction without its cells of no value declares: the gold rows, and the cells of its widest row."""
+    wide = _pred(s, sf).groupBy("table_id", "row").count().groupBy("table_id").agg(F.max("count").cast("int").alias("n_cols"))
+    return grid.shapes(gold_cells(s, sf), KEY).select("table_id", "n_rows").join(wide, KEY)
+
+
 _BAG = """SELECT table_id, round(p, 6) AS precision, round(r, 6) AS recall, round(CASE WHEN p + r = 0 THEN 0.0 ELSE 2 * p * r / (p + r) END, 6) AS f1 FROM (
   SELECT table_id, CASE WHEN np > 0 THEN tp / np WHEN ng = 0 THEN 1.0 ELSE 0.0 END AS p, CASE WHEN ng > 0 THEN tp / ng WHEN np = 0 THEN 1.0 ELSE 0.0 END AS r FROM (
     SELECT table_id, sum(least(g, p)) AS tp, sum(g) AS ng, sum(p) AS np FROM (SELECT table_id, {v}, count(*) FILTER (side = 'g') AS g, count(*) FILTER (side = 'p') AS p FROM both_sides GROUP BY ALL) GROUP BY 1))"""
 
 
+def _normed(cells):
+    return cells.withColumn("text", t.norm_cell(F.col("text")))
+
+
 def _round(df):
     return df.select("table_id", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
 Q["cell_bag_f1"] = (
-    lambda s, sf: _round(sets.bag_f1(gold_cells(s, sf).where("text <> ''"), _pred(s, sf).where("text <> ''"), KEY, ["text"])),
+    lambda s, sf: _round(sets.bag_f1(_normed(gold_cells(s, sf)).where("text <> ''"), _normed(_pred(s, sf)).where("text <> ''"), KEY, ["text"])),
     f"WITH {PRED}, both_sides AS (SELECT table_id, text, 'g' AS side FROM gold_cells WHERE text <> '' UNION ALL SELECT table_id, text, 'p' FROM pred_cells WHERE text <> '') " + _BAG.format(v="text"),
 )
 Q["header_span_f1"] = (
-    lambda s, sf: _round(sets.bag_f1(gold_cells(s, sf).where("is_header"), degrade.flat_header(gold_cells(s, sf)).where("is_header"), KEY, ["text", "rowspan", "colspan"])),
+    lambda s, sf: _round(sets.bag_f1(_normed(gold_cells(s, sf).where("is_header")), _normed(degrade.flat_header(gold_cells(s, sf)).where("is_header")), KEY, ["text", "rowspan", "colspan"])),
     f"WITH {CELLS}, both_sides AS (SELECT table_id, text, rowspan, colspan, 'g' AS side FROM gold_cells WHERE is_header UNION ALL SELECT table_id, text, 1, 1, 'p' FROM gold_cells WHERE is_header) " + _BAG.format(v="text, rowspan, colspan"),
 )
 Q["infer_headers"] = (
@@ -77,28 +104,43 @@ def _ambiguous(s, sf):
     return gold_cells(s, sf).withColumn("text", F.when((F.col("row") == 0) & F.col("col").isin(1, 3), "").otherwise(F.col("text")))
 
 
+def _readings(s, sf):
+    """Every other table declares its ambiguity; the rest name an alternative that is not over two rows."""
+    accepted = F.when(F.col("table_id") % 2 == 0, "label in row 0 with rowspan=2").otherwise("left out")
+    return gold_cells(s, sf).select("table_id").distinct().select("table_id", F.lit(1).alias("reading"), F.array(*map(F.lit, REFS)).alias("cells"), accepted.alias("accepted_alternative"))
+
+
+def _variants(s, sf):
+    return grid.ambiguity_variants(_ambiguous(s, sf), _readings(s, sf), KEY)
+
+
 AMB = CELLS + """, amb AS (SELECT table_id, row, col, rowspan, colspan, CASE WHEN row = 0 AND col IN (1, 3) THEN '' ELSE text END AS text, is_header FROM gold_cells),
 variants AS (
   SELECT *, 'as_encoded' AS variant FROM amb
-  UNION ALL SELECT table_id, CASE WHEN row = 1 AND col IN (1, 3) THEN 0 ELSE row END, col, CASE WHEN row = 1 AND col IN (1, 3) THEN 2 ELSE rowspan END, colspan, text, is_header, 'rowspan2_alternative' FROM amb WHERE NOT (row = 0 AND col IN (1, 3) AND text = '')
+  UNION ALL SELECT table_id, CASE WHEN row = 1 AND col IN (1, 3) THEN 0 ELSE row END, col, CASE WHEN row = 1 AND col IN (1, 3) THEN 2 ELSE rowspan END, colspan, text, is_header, 'rowspan2_alternative' FROM amb WHERE NOT (row = 0 AND col IN (1, 3) AND text = '') AND table_id % 2 = 0
 )"""
-Q["ambiguity_variants"] = (lambda s, sf: grid.ambiguity_variants(_ambiguous(s, sf), REFS), f"WITH {AMB} SELECT * FROM variants")
-Q["deg_alt_header"] = (lambda s, sf: grid.ambiguity_variants(_ambiguous(s, sf), REFS).where("variant = 'rowspan2_alternative'").drop("variant"), f"WITH {AMB} SELECT * EXCLUDE (variant) FROM variants WHERE variant = 'rowspan2_alternative'")
+Q["ambiguity_variants"] = (lambda s, sf: _variants(s, sf).drop("reading"), f"WITH {AMB} SELECT * FROM variants")
+Q["deg_alt_header"] = (lambda s, sf: _variants(s, sf).where("variant = 'rowspan2_alternative'").drop("variant", "reading"), f"WITH {AMB} SELECT * EXCLUDE (variant) FROM variants WHERE variant = 'rowspan2_alternative'")
+
+
+def _tables(cells, header_rows=2):
+    """Each table as the only block of a page."""
+    own = cells.groupBy(F.col("table_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("row", "col", "rowspan", "colspan", "text", "is_header"))).alias("cells"), F.max(F.col("row") + F.col("rowspan")).alias("n_rows"), F.max(F.col("col") + F.col("colspan")).alias("n_cols"))
+    return own.select("doc_id", F.lit(0).cast("long").alias("ix"), F.lit("table").alias("type"), scoring.tsv_of(F.col("cells"), F.col("n_rows"), F.col("n_cols")).alias("body"), "cells", "n_rows", "n_cols", F.lit(header_rows).alias("header_rows"))
 
 
 def _best(s, sf):
-    v = grid.ambiguity_variants(_ambiguous(s, sf), REFS)
-    pred = v.where("variant = 'rowspan2_alternative' AND table_id % 2 = 0 OR variant = 'as_encoded' AND table_id % 2 = 1").where("is_header")
-    sides = [v.where(F.col("variant") == n).where("is_header") for n in ("as_encoded", "rowspan2_alternative")]
-    scored = [sets.bag_f1(x, pred, KEY, ["text", "rowspan", "colspan"]).select("table_id", "f1", F.lit(i).alias("ix"), F.lit(n).alias("variant")) for i, (x, n) in enumerate(zip(sides, ("as_encoded", "rowspan2_alternative"), strict=True))]
-    w = Window.partitionBy("table_id").orderBy(F.col("f1").desc(), "ix")
-    return scored[0].unionByName(scored[1]).withColumn("k", F.row_number().over(w)).where("k = 1").select("table_id", "variant", F.round("f1", 6).alias("f1"))
+    """Tables whose prediction takes the reading over two rows, and others as encoded, against all readings that count."""
+    gold = _tables(_ambiguous(s, sf)).join(_readings(s, sf).groupBy(F.col("table_id").alias("doc_id")).agg(F.collect_list(F.struct("cells", "accepted_alternative")).alias("ambiguities")), "doc_id")
+    pred = _tables(_variants(s, sf).where("table_id % 4 = 0 AND reading = 1 OR table_id % 4 <> 0 AND reading = 0").drop("reading", "variant"))
+    return scoring.table_pairs(gold, pred.withColumn("run", F.lit("r"))).select(F.col("doc_id").alias("table_id"), "variant", F.round("combined", 6).alias("combined"))
 
 
-Q["best_variant"] = (_best, "SELECT DISTINCT l_orderkey AS table_id, CASE WHEN l_orderkey % 2 = 0 THEN 'rowspan2_alternative' ELSE 'as_encoded' END AS variant, 1.0::DOUBLE AS f1 FROM lineitem")
+Q["best_variant"] = (_best, "SELECT DISTINCT l_orderkey AS table_id, CASE WHEN l_orderkey % 4 = 0 THEN 'rowspan2_alternative' ELSE 'as_encoded' END AS variant, 1.0::DOUBLE AS combined FROM lineitem")
 Q["table_topology_check"] = (
-    lambda s, sf: grid.topology(gold_cells(s, sf).join(grid.shapes(gold_cells(s, sf), KEY), KEY).withColumn("colspan", F.when((F.col("row") == 2) & (F.col("table_id") % 3 == 0) & (F.col("col") == 5), 2).when((F.col("row") == 2) & (F.col("table_id") % 3 == 1) & (F.col("col") == 1), 2).otherwise(F.col("colspan"))).where("NOT (row = 2 AND table_id % 3 = 2 AND col = 0)"), KEY),
-    "SELECT DISTINCT l_orderkey AS table_id, 1::BIGINT AS n, CASE l_orderkey % 3 WHEN 0 THEN 'span_exits_grid' WHEN 1 THEN 'double_cover' ELSE 'hole' END AS rule FROM lineitem",
+    lambda s, sf: grid.topology(gold_cells(s, sf).join(grid.shapes(gold_cells(s, sf), KEY), KEY).withColumn("colspan", F.when((F.col("row") == 2) & (F.col("table_id") % 3 == 0) & (F.col("col") == 5), 2).when((F.col("row") == 2) & (F.col("table_id") % 3 == 1) & (F.col("col") == 1), 2).otherwise(F.col("colspan"))).where("NOT (row = 2 AND table_id % 3 = 2 AND col = 0)").withColumn("is_header", F.col("is_header") & ~((F.col("table_id") % 5 == 0) & (F.col("row") == 1))).withColumn("header_rows", F.lit(2)), KEY, header_rows="header_rows"),
+    """WITH o AS (SELECT DISTINCT l_orderkey AS table_id FROM lineitem) SELECT table_id, 1::BIGINT AS n, CASE table_id % 3 WHEN 0 THEN 'span_exits_grid' WHEN 1 THEN 'double_cover' ELSE 'hole' END AS rule FROM o
+    UNION ALL SELECT table_id, 1, 'hole' FROM o WHERE table_id % 3 = 0 UNION ALL SELECT table_id, 4, 'header_flag' FROM o WHERE table_id % 5 = 0""",
 )
 Q["native_cells"] = (
     lambda s, sf: gold_cells(s, sf).select("table_id", "row", "col", F.when(F.col("rowspan") > 1, F.col("rowspan")).alias("span"), (F.col("row") + F.col("rowspan")).alias("row_end")).select("table_id", "row", "col", F.greatest(F.coalesce("span", F.col("row_end") - F.col("row"), F.lit(1)), F.lit(1)).alias("rowspan")),
@@ -119,7 +161,7 @@ def _html(s, sf):
 Q["html_table"] = (lambda s, sf: _html(s, sf).select("table_id", html_table.html_cells("html").alias("cells")).select("table_id", F.inline("cells")), f"WITH {CELLS} SELECT * FROM gold_cells")
 Q["html_header_rows"] = (lambda s, sf: _html(s, sf).select("table_id", html_table.header_rows(html_table.html_cells("html")).alias("header_rows")), "SELECT DISTINCT l_orderkey AS table_id, 2 AS header_rows FROM lineitem")
 Q["grid_fill"] = (
-    lambda s, sf: _pred(s, sf).groupBy("table_id").agg(F.count("*").alias("have"), (F.max("row") + 1).alias("n_rows")).where("have < 8 + 6 * (n_rows - 2)").select("table_id", (8 + 6 * (F.col("n_rows") - 2) - F.col("have")).cast("long").alias("missing")),
+    lambda s, sf: grid.fill_gaps(_pred(s, sf), KEY, grid.shapes(gold_cells(s, sf), KEY)).groupBy("table_id").agg(F.count("*").alias("missing")),
     "SELECT l_orderkey AS table_id, count(*) AS missing FROM lineitem WHERE l_discount = 0 GROUP BY 1",
 )
 Q["cell_color"] = (
@@ -151,11 +193,18 @@ def _prf(df):
     return df.select("user_id", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
-Q["chart_labels_prf"] = (lambda s, sf: _prf(sets.set_prf(charts(s, sf), _half(s, sf), ["user_id"], "label")), f"WITH {HALF}, both_sides AS (SELECT user_id, label, 1 AS g, 0 AS p FROM labels UNION ALL SELECT user_id, label, 0, 1 FROM half) " + _PRF)
+def _labels_prf(s, sf):
+    """Labels in capitals against half of them as they are: L2 makes them equal; with the first eight that are missed."""
+    norm = lambda df: df.withColumn("label", t.normalize(F.col("label"), "L2")).where("label <> ''")
+    gold = norm(charts(s, sf).withColumn("label", F.upper("label")))
+    out = sets.set_prf(gold, norm(_half(s, sf)), ["user_id"], "label", examples=8)
+    return out.select("user_id", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")], F.array_join("missed", ",").alias("missed"), F.size("spurious").alias("n_spurious"))
+
+
+Q["chart_labels_prf"] = (_labels_prf, f"WITH {HALF}, both_sides AS (SELECT user_id, label, 1 AS g, 0 AS p FROM labels UNION ALL SELECT user_id, label, 0, 1 FROM half), prf AS (" + _PRF + "), miss AS (SELECT user_id, array_to_string(list_sort(list(label))[1:8], ',') AS missed FROM (SELECT * FROM labels EXCEPT SELECT * FROM half) GROUP BY 1) SELECT prf.*, coalesce(missed, '') AS missed, 0 AS n_spurious FROM prf LEFT JOIN miss USING (user_id)")
 Q["set_prf"] = (lambda s, sf: _prf(sets.set_prf(charts(s, sf).where("event_type <> 'view'"), charts(s, sf).where("event_type <> 'click'"), ["user_id"], "label")), f"WITH {CHARTS}, both_sides AS (SELECT user_id, label, 1 AS g, 0 AS p FROM charts WHERE event_type <> 'view' UNION ALL SELECT user_id, label, 0, 1 FROM charts WHERE event_type <> 'click') " + _PRF)
 Q["distinct_labels"] = (lambda s, sf: charts(s, sf).groupBy("user_id").agg(F.array_join(F.array_sort(F.collect_set("label")), ",").alias("labels")), f"WITH {CHARTS} SELECT user_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM charts GROUP BY 1")
 Q["dup_ids"] = (lambda s, sf: sets.duplicate_keys(read(s, sf, "lineitem"), ["l_orderkey"], "l_linenumber"), "SELECT l_orderkey, count(l_linenumber) AS n_rows, count(DISTINCT l_linenumber) AS n_ids FROM lineitem GROUP BY 1 HAVING count(l_linenumber) <> count(DISTINCT l_linenumber)")
-Q["deg_no_chart_labels"] = (lambda s, sf: charts(s, sf).groupBy("user_id").agg(F.size(F.filter(F.collect_set("label"), lambda x: F.lit(False))).alias("n_labels"), F.lit(0).alias("n_marks")), f"WITH {CHARTS} SELECT DISTINCT user_id, 0 AS n_labels, 0 AS n_marks FROM charts")
 
 
 def _chart(s, sf):
@@ -163,7 +212,10 @@ def _chart(s, sf):
     marks = read(s, sf, "events").groupBy("user_id").agg(F.count("*").alias("g"), F.count(F.when(F.col("event_type") != "view", 1)).alias("p"))
     bins = [charts(s, sf).where(c).groupBy("user_id", "event_type").count() for c in ("true", "event_type <> 'view'")]
     hist = sets.histogram_similarity(*bins, ["user_id"], "event_type", "count")
-    return prf.join(marks, "user_id").join(hist, "user_id").select("user_id", F.round(chart.chart_score(F.col("f1"), t.count_accuracy(F.col("g"), F.col("p")), F.col("similarity"), F.lit(1.0)), 6).alias("score"))
+    # the predicted axis has its gold label, and for some charts a unit behind it
+    axis = F.concat(F.lit("events"), F.when(F.col("user_id") % 2 == 0, " (n)").otherwise(""))
+    alike = marks.select("user_id", "g", "p", ((t.similarity(F.lit("events"), axis) + 1.0) / 2).alias("axes"))
+    return prf.join(alike, "user_id").join(hist, "user_id").select("user_id", F.round(chart.chart_score(F.col("f1"), t.count_accuracy(F.col("g"), F.col("p")), F.col("similarity"), F.col("axes")), 6).alias("score"))
 
 
 Q["chart_score"] = (
@@ -173,7 +225,7 @@ Q["chart_score"] = (
     c AS (SELECT user_id, CASE WHEN abs(p - g) / g <= 0.1 THEN 1.0 ELSE greatest(0.0, 1 - (abs(p - g) / g - 0.1) / 0.2) END AS cnt, g, p FROM m),
     b AS (SELECT user_id, event_type, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2),
     h AS (SELECT user_id, CASE WHEN any_value(p) = 0 THEN 0.0 ELSE 1 - sum(abs(n / g - CASE WHEN event_type = 'view' THEN 0 ELSE n / p END)) / 2 END AS sim FROM b JOIN c USING (user_id) GROUP BY 1)
-    SELECT user_id, round(0.55 * f1 + 0.15 * cnt + 0.15 * sim + 0.15, 6) AS score FROM f JOIN c USING (user_id) JOIN h USING (user_id)""",
+    SELECT user_id, round(0.55 * f1 + 0.15 * cnt + 0.15 * sim + 0.15 * (1 + CASE WHEN user_id % 2 = 0 THEN 12.0 / 16 ELSE 1.0 END) / 2, 6) AS score FROM f JOIN c USING (user_id) JOIN h USING (user_id)""",
 )
 Q["size_band"] = (lambda s, sf: read(s, sf, "lineitem").select(chart.size_band(F.col("l_quantity") * 1.5).alias("band")).groupBy("band").agg(F.count("*").alias("n")), "SELECT CASE WHEN l_quantity * 1.5 >= 60 THEN 'large' WHEN l_quantity * 1.5 >= 28 THEN 'medium' ELSE 'small' END AS band, count(*) AS n FROM lineitem GROUP BY 1")
 Q["class_histogram"] = (
@@ -206,20 +258,23 @@ Q["line_groups"] = (
     f"WITH {BLOCKS} SELECT doc_id, CASE WHEN block_ix <= 3 THEN 0 WHEN block_ix <= 9 THEN 1 ELSE 2 END AS g, count(*) AS n FROM gold_blocks GROUP BY 1, 2",
 )
 Q["char_coverage"] = (
-    lambda s, sf: sets.bag_difference(*[gold_blocks(s, sf).where("text IS NOT NULL" + more).select("doc_id", F.explode(F.split(t.norm_chars(F.col("text")), "")).alias("ch")).where("ch <> ''") for more in ("", " AND type <> 'footer'")], ["doc_id"], "ch"),
-    f"WITH {BLOCKS} SELECT doc_id, ch, count(*) AS dropped, 0::BIGINT AS invented FROM (SELECT doc_id, unnest(string_split(regexp_replace(text, '\\s', '', 'g'), '')) AS ch FROM gold_blocks WHERE type = 'footer') WHERE ch <> '' GROUP BY 1, 2",
+    lambda s, sf: sets.bag_difference(*[noisy(s, sf).where("text IS NOT NULL").select("doc_id", F.explode(F.split(t.norm_chars(F.col(c)), "")).alias("ch")).where("ch <> ''") for c in ("text", "noisy")], ["doc_id"], "ch"),
+    f"""WITH {BLOCKS}, {NOISY}, c AS (
+      SELECT doc_id, unnest(string_split(regexp_replace(translate(text, '•' || chr(61623), ''), '\\s', '', 'g'), '')) AS ch, 1 AS d FROM noisy WHERE text IS NOT NULL
+      UNION ALL SELECT doc_id, unnest(string_split(regexp_replace(translate(noisy, '•' || chr(61623), ''), '\\s', '', 'g'), '')), -1 FROM noisy WHERE text IS NOT NULL)
+    SELECT doc_id, ch, greatest(sum(d), 0)::BIGINT AS dropped, greatest(-sum(d), 0)::BIGINT AS invented FROM c WHERE ch <> '' GROUP BY 1, 2 HAVING sum(d) <> 0""",
 )
 
 
 def table_score(s, sf):
-    """table_id, con, top, header_f1, combined of tables without their cells of no value."""
-    g, p = gold_cells(s, sf), _pred(s, sf)
-    header = sets.bag_f1(g.where("is_header"), p.where("is_header"), KEY, ["text", "rowspan", "colspan"]).select("table_id", F.col("f1").alias("header_f1"))
-    out = grid.grits(g, p, KEY).join(header, KEY)
-    return out.withColumn("combined", 0.5 * F.col("grits_con") + 0.25 * F.col("grits_top") + 0.25 * F.col("header_f1"))
+    """table_id, n_found, score: tables as they are and, for every third, no prediction."""
+    gold = _tables(gold_cells(s, sf)).withColumn("ambiguities", F.lit(None).cast("array<struct<cells:array<string>,accepted_alternative:string>>"))
+    pred = _tables(gold_cells(s, sf).where("table_id % 3 <> 0")).withColumn("run", F.lit("r"))
+    pages = gold_cells(s, sf).select(F.col("table_id").alias("doc_id"), F.lit("r").alias("run")).distinct()
+    return scoring.table_track(gold, scoring.table_pairs(gold, pred), pages).select(F.col("doc_id").alias("table_id"), "n_found", "score")
 
 
-Q["table_score"] = (table_score, None)
+Q["table_score"] = (table_score, "SELECT DISTINCT l_orderkey AS table_id, CASE WHEN l_orderkey % 3 = 0 THEN 0 ELSE 1 END::BIGINT AS n_found, CASE WHEN l_orderkey % 3 = 0 THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM lineitem")
 Q["grits_identity_alignment"] = (lambda s, sf: grid.grits(gold_cells(s, sf), gold_cells(s, sf), KEY), "SELECT DISTINCT l_orderkey AS table_id, 1.0::DOUBLE AS grits_con, 1.0::DOUBLE AS grits_top FROM lineitem")
 
 

@@ -32,20 +32,18 @@ def _noise(c: str, key: str) -> str:
 
 NOISY = f"""
 noisy AS (SELECT *, CASE WHEN text IS NULL OR text = '' THEN text ELSE {_noise("text", "doc_id || '|' || block_ix")} END AS noisy FROM gold_blocks)"""
-#: Blocks of the pure-ASCII documents, where bytes are characters.
-ASCII = f"""
-ascii AS (SELECT doc_id, block_ix, {l1("text")} AS g, {l1("noisy")} AS p FROM noisy WHERE text IS NOT NULL AND regexp_full_match(text, '[\\x00-\\x7F]*') AND length(text) <= 400)"""
+#: Every block with a text and its noisy copy, in letters of one byte each, as DuckDB's levenshtein counts bytes: in each pair the
+#: characters outside ASCII become ASCII characters that the pair has not, so that equal ones stay equal and different ones different.
+WHOLE = f"""
+whole AS (SELECT doc_id, block_ix, {l1("text")} AS g0, {l1("noisy")} AS p0 FROM noisy WHERE text IS NOT NULL),
+wide AS (SELECT *, array_to_string(list_distinct(regexp_extract_all(g0 || p0, '[^\\x00-\\x7F]')), '') AS has, array_to_string(list_filter(list_transform(range(1, 128), lambda i: chr(i::INTEGER)), lambda c: NOT contains(g0 || p0, c)), '') AS free FROM whole),
+bytes AS (SELECT doc_id, block_ix, translate(g0, has, free) AS g, translate(p0, has, free) AS p FROM wide)"""
 
 
 def noisy(s, sf):
     b = gold_blocks(s, sf)
-    key = F.concat_ws("|", "doc_id", "block_ix")
-    return b.withColumn("noisy", F.when(F.coalesce(F.col("text"), F.lit("")) == "", F.col("text")).otherwise(degrade.noisy_text(F.col("text"), key)))
-
-
-def ascii_pairs(s, sf):
-    b = noisy(s, sf).where("text IS NOT NULL").where(F.col("text").rlike(r"^[\x00-\x7F]*$") & (F.length("text") <= 400))
-    return b.select("doc_id", "block_ix", t.normalize(F.col("text")).alias("g"), t.normalize(F.col("noisy")).alias("p"))
+    b = b.withColumn("_seed", degrade.noise_seed(F.concat_ws("|", "doc_id", "block_ix")))
+    return b.withColumn("noisy", F.when(F.coalesce(F.col("text"), F.lit("")) == "", F.col("text")).otherwise(degrade.noisy_text(F.col("text"), F.col("_seed")))).drop("_seed")
 
 
 def text_pairs(s, sf):
@@ -74,7 +72,7 @@ Q["norm_l1"] = (_docs(t.normalize), f"SELECT doc_id, {l1('text')} AS out FROM do
 Q["norm_l2"] = (_docs(lambda c: t.normalize(c, "L2")), f"SELECT doc_id, replace(lower({l1('text')}), 'ß', 'ss') AS out FROM documents")
 Q["tokens"] = (lambda s, sf: read(s, sf, "documents").select("doc_id", F.size(t.tokens(F.col("text"))).cast("long").alias("n"), F.md5(F.array_join(t.tokens(F.col("text")), "|")).alias("digest")), f"SELECT doc_id, CASE WHEN x = '' THEN 0 ELSE len(string_split(x, ' ')) END::BIGINT AS n, md5(replace(x, ' ', '|')) AS digest FROM (SELECT doc_id, {l1('text')} AS x FROM documents)")
 Q["ws_lines"] = (_docs(t.ws_lines), r"SELECT doc_id, regexp_replace(array_to_string(list_transform(string_split(replace(text, chr(160), ' '), chr(10)), lambda x: trim(regexp_replace(x, '[ \t]+', ' ', 'g'))), chr(10)), '^\s+|\s+$', '', 'g') AS out FROM documents")
-Q["norm_chars"] = (_docs(t.norm_chars), r"SELECT doc_id, regexp_replace(text, '[\s•]', '', 'g') AS out FROM documents")
+Q["norm_chars"] = (_docs(t.norm_chars), r"SELECT doc_id, regexp_replace(translate(text, '•' || chr(61623), ''), '\s', '', 'g') AS out FROM documents")
 Q["collapse_ws"] = (_docs(t.collapse), r"SELECT doc_id, trim(regexp_replace(text, '\s+', ' ', 'g')) AS out FROM documents")
 Q["strip_marker"] = (lambda s, sf: gold_blocks(s, sf).where("type = 'list'").select("doc_id", "block_ix", t.strip_marker(F.concat(F.lit("• "), "text")).alias("out")), f"WITH {BLOCKS} SELECT doc_id, block_ix, text AS out FROM gold_blocks WHERE type = 'list' AND text IS NOT NULL")
 Q["tick_filter"] = (lambda s, sf: read(s, sf, "lineitem").select(F.explode(F.array(F.concat(F.col("l_linenumber").cast("string"), F.lit("%")), F.col("l_returnflag"), F.concat(F.lit("-"), F.col("l_linenumber").cast("string"), F.lit(".5")))).alias("label")).where(t.is_tick(F.col("label"))).groupBy("label").agg(F.count("*").alias("n")), r"SELECT label, count(*) AS n FROM (SELECT unnest([l_linenumber || '%', l_returnflag, '-' || l_linenumber || '.5']) AS label FROM lineitem) WHERE regexp_full_match(label, '[-+]?\d+(\.\d+)?%?') GROUP BY label")
@@ -82,8 +80,8 @@ Q["fmt3"] = (lambda s, sf: read(s, sf, "lineitem").groupBy("l_shipdate").agg(F.a
 
 # -- metrics
 _cer_sql = "CASE WHEN length(g) = 0 THEN CASE WHEN length(p) = 0 THEN 0.0 ELSE 1.0 END ELSE levenshtein(g, p)::DOUBLE / length(g) END"
-Q["cer"] = (lambda s, sf: ascii_pairs(s, sf).select("doc_id", "block_ix", F.round(t.cer(F.col("g"), F.col("p")), 6).alias("cer")), f"WITH {BLOCKS}, {NOISY}, {ASCII} SELECT doc_id, block_ix, round({_cer_sql}, 6) AS cer FROM ascii")
-Q["text_accuracy"] = (lambda s, sf: ascii_pairs(s, sf).join(read(s, sf, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.round(F.avg(t.accuracy(t.cer(F.col("g"), F.col("p")))), 6).alias("accuracy"), F.count("*").alias("n")), f"WITH {BLOCKS}, {NOISY}, {ASCII} SELECT lang, round(avg(greatest(0.0, 1 - least(1.0, {_cer_sql}))), 6) AS accuracy, count(*) AS n FROM ascii JOIN documents USING (doc_id) GROUP BY lang")
+Q["cer"] = (lambda s, sf: text_pairs(s, sf).select("doc_id", "block_ix", F.round(t.cer(F.col("g"), F.col("p")), 6).alias("cer")), f"WITH {BLOCKS}, {NOISY}, {WHOLE} SELECT doc_id, block_ix, round({_cer_sql}, 6) AS cer FROM bytes")
+Q["text_accuracy"] = (lambda s, sf: text_pairs(s, sf).join(read(s, sf, "documents").select("doc_id", "lang"), "doc_id").groupBy("lang").agg(F.round(F.avg(t.accuracy(t.cer(F.col("g"), F.col("p")))), 6).alias("accuracy"), F.count("*").alias("n")), f"WITH {BLOCKS}, {NOISY}, {WHOLE} SELECT lang, round(avg(greatest(0.0, 1 - least(1.0, {_cer_sql}))), 6) AS accuracy, count(*) AS n FROM bytes JOIN documents USING (doc_id) GROUP BY lang")
 Q["wer"] = (lambda s, sf: text_pairs(s, sf).select("doc_id", "block_ix", F.round(t.wer(F.col("g"), F.col("p")), 6).alias("wer")), None)
 Q["indel_ratio"] = (lambda s, sf: text_pairs(s, sf).select("doc_id", "block_ix", F.round(t.similarity(F.col("g"), F.col("p")), 6).alias("sim")), None)
 Q["count_accuracy"] = (lambda s, sf: read(s, sf, "events").groupBy("user_id").agg(F.count("*").alias("g"), F.count(F.when(F.col("value") > 5, 1)).alias("p")).select("user_id", F.round(t.count_accuracy(F.col("g"), F.col("p")), 6).alias("accuracy")), "SELECT user_id, round(CASE WHEN abs(p - g) / g <= 0.1 THEN 1.0 ELSE greatest(0.0, 1 - (abs(p - g) / g - 0.1) / 0.2) END, 6) AS accuracy FROM (SELECT user_id, count(*)::DOUBLE AS g, count(*) FILTER (value > 5)::DOUBLE AS p FROM events GROUP BY 1)")

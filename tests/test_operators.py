@@ -47,8 +47,39 @@ def test_grid(spark):
 
 
 def test_html_cells():
-    got = html_table.cells_of("<tr><td rowspan=2>A</td><td>b<br>c &amp;</td></tr><tr><td colspan=0>d</td></tr>")
-    assert [(c["row"], c["col"], c["rowspan"], c["text"]) for c in got] == [(0, 0, 2, "A"), (0, 1, 1, "b c &"), (1, 1, 1, "d")] and html_table.cells_of("<p>x</p>") is None
+    got = html_table.cells_of("<table><tr><td rowspan=2>A</td><td>b<br>c &amp;</td></tr><tr><td colspan=0>d</td></tr></table>")
+    assert [(c["row"], c["col"], c["rowspan"], c["text"]) for c in got] == [(0, 0, 2, "A"), (0, 1, 1, "b c &"), (1, 1, 1, "d")]
+    assert html_table.cells_of("<p>x</p>") is None and html_table.cells_of("<tr><td>outside</td></tr>") is None and html_table.cells_of(None) is None
+    spans = html_table.cells_of('<table><tr><td rowspan="²">a</td><td rowspan=-3 colspan=3000000>b</td></tr><tr><td>open</tr><tr><td>c</td></tr></table>')
+    assert [(c["row"], c["col"], c["rowspan"], c["colspan"]) for c in spans] == [(0, 0, 1, 1), (0, 1, 1, html_table.MOST), (2, 0, 1, 1)]
+    wide = html_table.cells_of("<table><tr><td>a</td><td rowspan=3 colspan=2>b</td></tr><tr><td>c</td><td>d</td></tr><tr><td colspan=2>e</td><td>f</td></tr></table>")
+    assert [(c["text"], c["row"], c["col"]) for c in wide] == [("a", 0, 0), ("b", 0, 1), ("c", 1, 0), ("d", 1, 3), ("e", 2, 0), ("f", 2, 3)]
+
+
+def test_header_rows_end_at_a_row_without_cells(spark):
+    html = ["<table><tr><th rowspan=2>a</th><th rowspan=2>b</th></tr><tr></tr><tr><td>c</td></tr></table>", "<table><tr><th>a</th></tr><tr><th>b</th></tr><tr><td>c</td></tr></table>", "<table><tr><th>a</th></tr></table>", "<table><tr></tr></table>", "x"]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(html)], "k int, html string").select("k", html_table.html_cells("html").alias("cells"))
+    assert [r["n"] for r in rows.select("k", html_table.header_rows(F.col("cells")).alias("n")).orderBy("k").collect()] == [1, 2, 1, 0, 0]
+
+
+def test_grid_has_the_declared_shape(spark):
+    schema = "k int, pos int, row int, col int, rowspan int, colspan int, text string, is_header boolean"
+    cells = spark.createDataFrame([(1, 0, 0, 0, 1, 1, "a", True), (1, 1, 0, 2, 9, 9, "b", False), (1, 2, 1, 2, 1, 1, "late", False), (1, 3, 1, 1, 1, 2, "last", False)], schema)
+    shape = spark.createDataFrame([(1, 2, 3)], "k int, n_rows int, n_cols int")
+    got = grid.expand_grid(cells, ["k"], shape)
+    assert [r["text"] for r in got.orderBy("r", "c").collect()] == ["a", "", "b", "", "last", "last"]
+    assert [r["line_text"] for r in grid.line_texts(got, ["k"], "r").orderBy("r").collect()] == ["a |  | b", " | last | last"]
+    read = [{**r.asDict(), "norm": r["text"]} for r in cells.orderBy("pos").collect()]
+    assert [[c[0] for c in line] for line in grid.grid_of(read, 2, 3)] == [["a", "", "b"], ["", "last", "last"]]
+    with pytest.raises(Exception, match="two cells at row 0, column 0"):
+        grid.fill_gaps(cells.unionByName(cells.where("pos = 0")), ["k"], shape).collect()
+
+
+def test_readings_need_a_declared_alternative(spark):
+    cells = spark.createDataFrame([(k, r, c, 1, 1, x, True) for k in (1, 2) for r, c, x in ((0, 0, ""), (1, 0, "label"), (1, 1, "other"))], "k int, row int, col int, rowspan int, colspan int, text string, is_header boolean")
+    known = spark.createDataFrame([(1, 1, ["row0/col0", "nowhere"], "label with rowspan=2"), (2, 1, ["row0/col0"], "left out")], "k int, reading int, cells array<string>, accepted_alternative string")
+    got = {(r["k"], r["variant"], r["row"], r["rowspan"], r["text"]) for r in grid.ambiguity_variants(cells, known, ["k"]).where("reading = 1").collect()}
+    assert got == {(1, "rowspan2_alternative", 0, 2, "label"), (1, "rowspan2_alternative", 1, 1, "other")}
 
 
 def test_composite(spark):
@@ -59,7 +90,7 @@ def test_composite(spark):
 
 def test_degradations_move_their_own_metric(spark):
     """A perfect prediction scores 1; noise lowers text accuracy, and nothing else does."""
-    sim = texts.ascii_pairs(spark, SF).select(F.avg((F.col("g") != F.col("p")).cast("int")).alias("changed")).first()["changed"]
+    sim = texts.text_pairs(spark, SF).select(F.avg((F.col("g") != F.col("p")).cast("int")).alias("changed")).first()["changed"]
     assert sim > 0.3
     acc = registry.QUERIES["text_accuracy"](spark, SF).agg(F.avg("accuracy")).first()[0]
     assert 0.9 < acc < 0.99
