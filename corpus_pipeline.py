@@ -9,7 +9,8 @@ packing     what is left becomes sequences of at most 4096 tokens
 All stages but the last return the columns of documents; n_chars follows the text.
 A document that loses all its words stays with an empty text. The second stage keeps
 one row of each group, whatever doc_ids other groups have: a null doc_id is larger than
-any other, and rows of one group and doc_id are settled by a hash of the text.
+any other, and rows of one group and doc_id are settled by a hash of the text. Columns beside
+doc_id and text pass through, whatever their names; tables may be empty.
 """
 
 from __future__ import annotations
@@ -19,43 +20,50 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from foliometer.llm import decontaminate, nearcopies, packing, substrings, toxicity
 from foliometer.llm.common import shared_dir, table
 
 
-def _as_documents(out: DataFrame, docs: DataFrame) -> DataFrame:
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+def _bare(docs: DataFrame) -> DataFrame:
+    """doc_id, text and all other columns in one, so that no name of theirs meets one that an operator uses."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    return docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in others] or [F.lit(None).alias("none")]).alias("others"))
+
+
+def _whole(out: DataFrame, docs: DataFrame, changed: bool = False) -> DataFrame:
+    """The columns of docs again; n_chars, a number, follows a text that may have changed."""
+    columns = {c: F.col(c) if c in ("doc_id", "text") else F.col("others").getField(c) for c in docs.columns}
+    if changed and "n_chars" in columns and isinstance(docs.schema["n_chars"].dataType, T.NumericType):
+        columns["n_chars"] = F.when(F.col("text").isNull(), columns["n_chars"]).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*[v.alias(c) for c, v in columns.items()])
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain does not judge toxic, unchanged."""
-    scored = toxicity.score(docs, toxicity.chain_of(spark, sf_dir, docs))
-    return scored.where("p_toxic < 0.5").select(*docs.columns)
+    scored = toxicity.score(_bare(docs), toxicity.chain_of(spark, sf_dir, docs))
+    return _whole(scored.where("p_toxic < 0.5"), docs)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near-duplicates: sets of five-word shingles of similarity 0.8 or more."""
     # what tells rows apart: two hashes of doc_id and text
-    keyed = docs.select("*", F.xxhash64("doc_id", "text").alias("_h1"), F.xxhash64(F.lit("_"), "text", "doc_id").alias("_h2"))
+    keyed = _bare(docs).select("*", F.xxhash64("doc_id", "text").alias("_h1"), F.xxhash64(F.lit("_"), "text", "doc_id").alias("_h2"))
     kept = nearcopies.one_of_each(keyed, ["_h1", "_h2"], shingle_words=5, similarity=0.8).select("_h1", "_h2")
     # rows of the same doc_id and text stay once; the join and the window share one shuffle
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")] or ["doc_id"]
-    first = Window.partitionBy("_h1", "_h2").orderBy(*rest)
-    out = keyed.join(kept, ["_h1", "_h2"], "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1")
-    return out.select(*docs.columns)
+    first = Window.partitionBy("_h1", "_h2").orderBy(F.to_json("others"))
+    return _whole(keyed.join(kept, ["_h1", "_h2"], "left_semi").withColumn("_n", F.row_number().over(first)).where("_n = 1"), docs)
 
 
 def substrings_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that an earlier window of 20 words already has."""
-    return _as_documents(substrings.remove_repeats(docs, window=20), docs)
+    return _whole(substrings.remove_repeats(_bare(docs), window=20), docs, changed=True)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the words that stand in a window of a benchmark item."""
-    return _as_documents(decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), remove="spans"), docs)
+    return _whole(decontaminate.scan(_bare(docs), table(spark, sf_dir, "benchmark"), remove="spans"), docs, changed=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
