@@ -13,7 +13,9 @@ shingles each, share at least s = ceil(containment m) shingles (less by the stri
 is over 1), hence have a Jaccard similarity of at least J = s / (2 m - s). With bands of
 r rows the number of bands b is the least for which 1 - (1 - J^r)^b is `sure` or
 more; where s = m, signatures are equal and one band is certain. Window signatures that agree with a template's in a band are candidates, and
-those are verified on the shingles' words, so what is returned is exact.
+those are verified on the shingles' words, so what is returned is exact. Of matches that
+overlap, one whose template stands for the most part in a longer one's is not told beside it,
+and of templates that are much alike only that of greater containment (then the later name).
 
 Templates are few and go along with the task; their number and length are set by the
 caller, not by the data. Documents are scanned whole, where they are read, without
@@ -47,6 +49,13 @@ TEMPLATES = {
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "GPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0 header": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "GPL-2.0 header": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1 header": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0 header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "CC0-1.0 notice": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
     "CC-BY-4.0 notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0 notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
 }
@@ -126,6 +135,24 @@ def candidates(shingles: np.ndarray, templates: list[Template]) -> list[np.ndarr
     return [at[t.name][found[t.name]] if t.name in at else np.zeros(0, np.int64) for t in templates]
 
 
+def most_specific(found: list[tuple[int, str, float, int, int]], templates: list[Template], containment: float) -> list[tuple[int, str, float, int, int]]:
+    """found without the matches whose place overlaps that of a better one: a longer template that holds theirs, or of templates much alike the one of greater containment."""
+    sets = {t.name: t.shingles for t in templates if t.words}
+
+    def gives_way(a: tuple, b: tuple) -> bool:
+        """Whether a is not to be told beside b."""
+        ours, theirs = sets[a[1]], sets[b[1]]
+        if a[1] == b[1] or a[3] >= b[4] or b[3] >= a[4] or len(ours & theirs) < containment * len(ours):
+            return False
+        mutual = len(ours & theirs) >= containment * len(theirs)
+        return (b[2], b[1]) > (a[2], a[1]) if mutual else len(theirs) > len(ours)
+
+    by_text: dict[int, list[tuple]] = {}
+    for x in found:
+        by_text.setdefault(x[0], []).append(x)
+    return [a for own in by_text.values() for a in own if not any(gives_way(a, b) for b in own)]
+
+
 def find_licenses(words: Words, templates: list[Template], containment: float) -> list[tuple[int, str, float, int, int]]:
     """(text, template, containment, first word, end word) of the best place of each template in each text."""
     out, usable = [], [t for t in templates if t.words]
@@ -150,10 +177,10 @@ def find_licenses(words: Words, templates: list[Template], containment: float) -
                 if share >= containment and share > best.get(i, (0.0,))[0]:
                     best[i] = (share, a + at[0] - int(words.first[i]), a + at[-1] + t.k - int(words.first[i]))
         out += [(i, t.name, *x) for i, x in best.items()]
-    return out
+    return most_specific(out, usable, containment)
 
 
-def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, containment: float = 0.8, rows: int = 1, sure: float = 0.9999) -> DataFrame:
+def scan(docs: DataFrame, templates: Mapping[str, str] | None = None, containment: float = 0.8, rows: int = 2, sure: float = 0.9999) -> DataFrame:
     """doc_id, license, containment, first_word, end_word: one row for each template that a document holds."""
     known = [Template(k, v, containment, rows, sure) for k, v in (TEMPLATES if templates is None else templates).items()]
     kind = docs.schema["doc_id"].dataType.simpleString()
