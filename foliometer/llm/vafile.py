@@ -9,9 +9,10 @@ reaches its k-th best so far and its k-th best lower bound in the block, and rea
 vectors (mapped, in the order of their bounds) until the k-th result is at least
 the next bound. So nothing is missed, and no pair of vectors becomes a row.
 
-Query blocks meet vector blocks as rows of two small tables of blocks, dealt so that a
-task holds one block of queries and walks through its share of the vector blocks;
-a final window takes k of each query's k best per share.
+Blocks are known by the task that wrote them and a number. A step is one block of queries with
+a share of the vector blocks; steps are a range of numbers, so no table of blocks is joined or
+gathered. The driver holds one count for each task. A final window takes k of each query's k
+best per share.
 
 Ties go to the smaller id. Vectors that are null or hold null or non-finite
 components take no part, nor do empty ones; vectors of different lengths are not
@@ -27,11 +28,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import mapped, mapped_dir, parts, save, table, written
+from .common import mapped, mapped_dir, parts, save, table
 
 _MOST = float(1 << 53)
 _NULL = np.iinfo(np.int64).max
@@ -129,22 +131,20 @@ def top_k(vectors: DataFrame, ask: Column, k: int = 20, scale: float = 64.0, bit
     spark = vectors.sparkSession
     folder = mapped_dir(spark, "vectors")
 
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import uuid
+    def path_of(size: int, query: bool, task: int, number: int) -> str:
+        return f"{folder}/{'query' if query else 'block'}-{size}-{task}-{number}"
 
-        task = uuid.uuid4().hex
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()  # a task that runs again writes the same files
         held: dict[tuple[int, bool], list] = {}
-        number = 0
+        numbers: dict[tuple[int, bool], int] = {}
 
-        def flush(key: tuple[int, bool], most: int) -> Iterator[pa.RecordBatch]:
-            nonlocal number
+        def flush(key: tuple[int, bool], most: int) -> None:
             ids, x = (np.concatenate(c) for c in zip(*held[key], strict=True))
             while len(ids) > most or (len(ids) and most == 0):
                 size = (query_rows if key[1] else block_rows) if most else len(ids)
-                path = f"{folder}/{'query' if key[1] else 'block'}-{task}-{number}"
-                number += 1
-                Block.write(path, ids[:size], x[:size], bits)
-                yield pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]]), pa.array([path]), pa.array([len(ids[:size])], pa.int64())], ["size", "asks", "path", "rows"])
+                Block.write(path_of(*key, task, numbers.get(key, 0)), ids[:size], x[:size], bits)
+                numbers[key] = numbers.get(key, 0) + 1
                 ids, x = ids[size:], x[size:]
             held[key] = [(ids, x)]
 
@@ -156,36 +156,48 @@ def top_k(vectors: DataFrame, ask: Column, k: int = 20, scale: float = 64.0, bit
                         held.setdefault(key, []).append((ids[chosen], x[chosen]))
                         most = query_rows if query else block_rows
                         if sum(len(c[0]) for c in held[key]) > most:
-                            yield from flush(key, most)
+                            flush(key, most)
         for key in list(held):
-            yield from flush(key, 0)
+            flush(key, 0)
+        rows = [(*key, task, n) for key, n in numbers.items()]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int32(), pa.bool_(), pa.int32(), pa.int64()), strict=True)], ["size", "asks", "task", "blocks"])
 
     source = vectors.select("vec_id", "embedding", ask.alias("ask"))
-    blocks = written(source.mapInArrow(build, "size int, asks boolean, path string, rows long"), "blocks")
-    asks, held = blocks.where("asks"), blocks.where("NOT asks")
-    n_blocks, n_asks = held.count(), asks.count()
-    # each task: one query block with a share of the vector blocks
-    shares = parts(n_blocks, 64) if n_asks >= 64 else min(max(n_blocks, 1), parts(64, max(n_asks, 1)))
-    held = held.select("size", F.col("path").alias("block"), F.pmod(F.xxhash64("path"), F.lit(shares)).alias("share"))
-    pairs = asks.select("size", F.col("path").alias("query")).join(held, "size").groupBy("query", "share").agg(F.collect_list("block").alias("blocks"))
-    pairs = pairs.repartition(parts(n_asks * shares, 4, 8), "query", "share")
+    # one row for each task and length of vectors: how many blocks it has written
+    written_by = sorted(source.mapInArrow(build, "size int, asks boolean, task int, blocks long").collect())
+    tables = {key: (np.array([r["task"] for r in rows]), np.cumsum([0] + [r["blocks"] for r in rows])) for key, rows in ((k, [r for r in written_by if (r["size"], r["asks"]) == k]) for k in sorted({(r["size"], r["asks"]) for r in written_by}))}
+
+    def nth(size: int, query: bool, k: int) -> str:
+        """The k-th of all blocks of one kind."""
+        tasks, upto = tables[size, query]
+        at = int(np.searchsorted(upto, k, side="right")) - 1
+        return path_of(size, query, int(tasks[at]), int(k - upto[at]))
+
+    # each step is one query block with a share of the vector blocks; steps are numbers, and what they stand for is worked out in the task
+    sizes, shares, first = [], [], [0]
+    for size in sorted({k[0] for k in tables if k[1]}):
+        n_asks, n_blocks = int(tables[size, True][1][-1]), int(tables[size, False][1][-1])
+        sizes.append(size)
+        shares.append(parts(n_blocks, 64) if n_asks >= 64 else min(n_blocks, parts(64, n_asks)))
+        first.append(first[-1] + n_asks * shares[-1])
+    steps = spark.range(0, first[-1], 1, parts(first[-1], 4, min(8, max(first[-1], 1))))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for query, paths in zip(batch.column("query").to_pylist(), batch.column("blocks").to_pylist(), strict=True):
-                own = Block(query)
+            for step in batch.column("id").to_pylist():
+                kind = int(np.searchsorted(first, step, side="right")) - 1
+                size, (query, share) = sizes[kind], divmod(step - first[kind], shares[kind])
+                own = Block(nth(size, True, query))
                 ids, q = np.asarray(own.ids), np.asarray(own.exact).astype(np.float64)
                 best = Best(len(ids), k)
-                for path in sorted(paths):
-                    search_block(best, ids, q, Block(path))
-                size = [len(x) for x in best.id]
-                ordinal = np.repeat(np.arange(len(ids)), size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([query] * len(ordinal), pa.string()), pa.array(ordinal, pa.int32()), pa.array(ids[ordinal]), pa.array(np.concatenate(best.id) if len(ids) else []), pa.array(np.concatenate(best.score) if len(ids) else [])],
-                    ["query", "row", "query_id", "vec_id", "score"],
-                )
-
-    found = pairs.mapInArrow(scan, "query string, row int, query_id long, vec_id long, score long")
+                for block in range(share, int(tables[size, False][1][-1]), shares[kind]):
+                    search_block(best, ids, q, Block(nth(size, False, block)))
+                found = [len(x) for x in best.id]
+                row = np.repeat(np.arange(len(ids)), found)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{size}-{query}"] * len(row), pa.string()), pa.array(row, pa.int32()), pa.array(ids[row]), pa.array(np.concatenate(best.id)), pa.array(np.concatenate(best.score))], ["query", "row", "query_id", "vec_id", "score"])
+
+    found = steps.mapInArrow(scan, "query string, row int, query_id long, vec_id long, score long")
     order = Window.partitionBy("query", "row").orderBy(F.col("score").desc(), "vec_id")
     found = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return found.select("query_id", "rank", F.nullif("vec_id", F.lit(int(_NULL))).alias("vec_id"), "score")
