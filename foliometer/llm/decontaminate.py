@@ -6,10 +6,10 @@ is one window, one with none has none. A document word inside any occurrence of
 window is hit. Windows are found by a 64-bit hash and verified on their bytes.
 
 The items go to the executors as a broadcast hash set as long as their texts hold
-at most `broadcast_bytes`. Beyond that they are split by a hash of item_id into
-parts of about that size; each part's hash set is written to the shared folder and
-mapped by the workers, one after the other for each batch. So neither the driver
-nor a worker ever holds more than one part (or one item, if that is larger).
+at most `broadcast_bytes`, their ids counted. Beyond that they are split by a hash of the
+item into parts of about that size; each part's hash set is built by a task, written to the
+shared folder and mapped by the workers, one after the other for each batch. So no task
+ever holds more than one part, and the driver the parts' names only.
 
 Nulls and ties: a null text has no words, a null item_id is the item ''. Rows that
 repeat an item_id are one item with all their windows. Documents are never joined or
@@ -20,6 +20,9 @@ benchmark hits nothing.
 from __future__ import annotations
 
 import hashlib
+import json
+import os
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import local_path, mapped, mapped_dir, parts, save, table, text_bytes
+from .common import mapped, mapped_dir, parts, save, table
 from .words import ALNUM, Words, slices, windows, within
 
 _FILTER_BITS = 1 << 20
@@ -101,36 +104,50 @@ class ItemSet:
         for length, own in self.lengths.items():
             for name in self.ARRAYS:
                 save(f"{folder}/{length}-{name}.npy", own[name])
-        out = ItemSet.__new__(ItemSet)
-        out.ids, out.folder = [], folder
         for name in ("data", "start", "end"):
             save(f"{folder}/{name}.npy", getattr(self, name))
         with open(f"{folder}/ids", "w", encoding="utf-8") as f:
-            f.write("\0".join(self.ids))
-        out.lengths = dict.fromkeys(self.lengths)
+            json.dump(self.ids, f)
+        return ItemSet.at(folder)
+
+    @staticmethod
+    def at(folder: str) -> ItemSet:
+        """The set of a folder, not opened yet."""
+        out = ItemSet.__new__(ItemSet)
+        out.ids, out.folder = [], folder
         return out
 
     def opened(self) -> ItemSet:
         if not hasattr(self, "folder"):
             return self
         out = ItemSet.__new__(ItemSet)
-        out.lengths = {k: {n: mapped(f"{self.folder}/{k}-{n}.npy") for n in self.ARRAYS} for k in self.lengths}
+        lengths = sorted(int(name.split("-")[0]) for name in os.listdir(self.folder) if name.endswith("-key.npy"))
+        out.lengths = {k: {n: mapped(f"{self.folder}/{k}-{n}.npy") for n in self.ARRAYS} for k in lengths}
         out.data, out.start, out.end = (mapped(f"{self.folder}/{n}.npy") for n in ("data", "start", "end"))
         with open(f"{self.folder}/ids", encoding="utf-8") as f:
-            out.ids = f.read().split("\0")
+            out.ids = json.load(f)
         return out
 
 
 def item_sets(benchmark: DataFrame, window: int, broadcast_bytes: int) -> list[ItemSet]:
     """One set that may be broadcast, or several whose arrays are in the shared folder."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
-    count = parts(text_bytes(items), broadcast_bytes)
-    out = []
-    for k in range(count):
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(count)) == k).collect()  # at most about broadcast_bytes
-        one = ItemSet([r[0] for r in rows], [r[1] for r in rows], window)
-        out.append(one if count == 1 else one.save(local_path(mapped_dir(benchmark.sparkSession, "items"))))
-    return out
+    items = items.where(F.col("text").rlike("[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]"))  # one without words has no window
+    size = items.agg(F.sum(F.octet_length("text") + F.octet_length("item_id") + 16)).first()[0] or 0
+    count = parts(size, broadcast_bytes)
+    if count == 1:
+        rows = items.collect()  # at most broadcast_bytes
+        return [ItemSet([r[0] for r in rows], [r[1] for r in rows], window)]
+    folder = mapped_dir(benchmark.sparkSession, "items")
+
+    def build(group: pa.Table) -> pa.Table:
+        own = f"{folder}/{group.column('part')[0].as_py()}-{uuid.uuid4().hex}"
+        os.makedirs(own)
+        ItemSet(group.column("item_id").to_pylist(), group.column("text").to_pylist(), window).save(own)
+        return pa.table({"folder": [own]})
+
+    dealt = items.withColumn("part", F.pmod(F.xxhash64("item_id", "text"), F.lit(count)))
+    return [ItemSet.at(r[0]) for r in dealt.groupBy("part").applyInArrow(build, "folder string").collect()]  # a name for each part
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_bytes: int = 8 << 20, remove: str | None = None, keep_text: bool = True) -> DataFrame:
@@ -158,9 +175,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, window: int = 10, broadcast_byte
                 hit |= got
                 texts += text.tolist()
                 ids += [one.ids[k] for k in item.tolist()]
-            found: dict[int, list[str]] = {}
+            found: dict[int, set[str]] = {}
             for t, item in zip(texts, ids, strict=True):
-                found.setdefault(t, []).append(item)
+                found.setdefault(t, set()).add(item)
             total = np.concatenate(([0], np.cumsum(hit)))
             n_hit = total[words.first[1:]] - total[words.first[:-1]]
             digest = [hashlib.sha256(",".join(sorted(found.get(i, ()))).encode()).hexdigest() for i in range(batch.num_rows)]
