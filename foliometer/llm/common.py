@@ -156,10 +156,17 @@ class SortedFiles:
     def __init__(self, folder: str, name: str, buckets: int, columns: Sequence[str], narrow: Sequence[str] = ()) -> None:
         self.folder, self.name, self.buckets, self.columns, self.narrow = folder, name, buckets, tuple(columns), frozenset(narrow)
         self._open: dict[int, list[np.ndarray]] = {}
+        self.sealed: np.ndarray | None = None
 
     def __getstate__(self):
         return {**self.__dict__, "_open": {}}
 
+    def seal(self, buckets: Sequence[int]) -> None:
+        """These ranges have been written and no others; one of them that is not found is an error from here on."""
+        have = np.zeros(self.buckets, dtype=bool)
+        have[np.asarray(buckets, dtype=np.int64)] = True
+        self.sealed, self._open = np.packbits(have), {}
+
     def path(self, bucket: int, column: str) -> str:
         return f"{self.folder}/{self.name}-{bucket:06d}-{column}.npy"
 
@@ -174,7 +181,10 @@ class SortedFiles:
             save(self.path(bucket, column), array)
 
     def _load(self, bucket: int) -> list[np.ndarray | Narrow]:
-        if not os.path.exists(self.path(bucket, self.columns[-1])):
+        if self.sealed is None:
+            if not os.path.exists(self.path(bucket, self.columns[-1])):
+                return []
+        elif not self.sealed[bucket >> 3] >> (7 - (bucket & 7)) & 1:
             return []
         arrays = {c: mapped(self.path(bucket, c)) for c in self.columns}
         return [Narrow(a, *(mapped(self.path(bucket, f"{c}-{x}")) for x in ("place", "value"))) if c in self.narrow else a for c, a in arrays.items()]

@@ -75,9 +75,14 @@ def shard_of(key: Column, tree: Tree) -> Column:
     return F.regexp_replace(out, "^shard ", "").cast("int")
 
 
-def assign(docs: DataFrame, shards: int = 40, base: int = 40, buckets: int = 256) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot (gapless from 0 in each shard), grown_shard."""
-    base = min(base, shards)
+def assign(docs: DataFrame, shards: int = 40, base: int | None = None, buckets: int = 256) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot (gapless from 0 in each shard), grown_shard.
+
+    base: the number of shards that the layout began with, `shards` if it begins now. grown_shard is what shards + 1 with the same base will give.
+    """
+    base = shards if base is None else base
+    if not 1 <= base <= shards:
+        raise ValueError("base is the number of shards that the layout began with: from 1 to shards")
     text = F.coalesce("text", F.lit(""))
     key = F.col("doc_id")
     rows = docs.select("doc_id", (F.octet_length(text) + F.lit(16)).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), shard_of(key, layout(shards, base)).alias("shard"), shard_of(key, layout(shards + 1, base)).alias("grown_shard"))

@@ -163,7 +163,7 @@ def index_repeats(docs: DataFrame, window: int, rounds: int) -> tuple[SortedFile
         names, twice = _merge_symbols(np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]))
         names = names[twice > 1]
         repeated.write(group.column("bucket")[0].as_py(), name=names, seen=np.zeros(len(names), dtype=np.uint8))
-        return pa.table({"entries": [len(names)]})
+        return pa.table({"bucket": group.column("bucket").slice(0, 1)})
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = _Blobs(buckets, _merge_windows, 750_000)
@@ -180,12 +180,13 @@ def index_repeats(docs: DataFrame, window: int, rounds: int) -> tuple[SortedFile
         *kept, twice = _merge_windows(*(np.concatenate(x) for x in zip(*both, strict=True)))
         key, check, doc, start = (x[twice > 1] for x in kept)
         firsts.write(group.column("bucket")[0].as_py(), key=key, check=check, doc=doc, start=start)
-        return pa.table({"entries": [len(key)]})
+        return pa.table({"bucket": group.column("bucket").slice(0, 1)})
 
     source = docs.select("doc_id", "text")
-    for dealt, kept in ((source.mapInArrow(name, "bucket long, blob binary"), keep_names), (source.mapInArrow(place, "bucket long, blob binary"), keep_windows)):
-        dealt.groupBy("bucket").applyInArrow(kept, "entries long").agg({"entries": "sum"}).collect()
-        del dealt
+    for dealt, kept, files in ((name, keep_names, repeated), (place, keep_windows, firsts)):
+        done = source.mapInArrow(dealt, "bucket long, blob binary").groupBy("bucket").applyInArrow(kept, "bucket long")
+        files.seal([r[0] for r in done.collect()])  # a number for each range
+        del done
         release(spark)
     return repeated, firsts
 

@@ -6,8 +6,8 @@ probabilities of the categories before it. A later model is trained with
 out-of-fold probabilities of the earlier ones: those that models fitted without the
 row's fold gave. Scoring uses the models of all rows, in the order of the chain.
 
-Training takes a bounded sample: the `sample` labelled doc_ids of smallest hash
-(all of them, if fewer). Their documents are reduced on the executors to hashed
+Training takes a bounded sample: the `sample` rows of labels of smallest doc_id hash
+(all of them, if fewer), and of the different texts of their documents at most as many, again by hash. These are reduced on the executors to hashed
 features, and the features counted in Spark. Copies and near copies (by the minima
 of their word sets) count once, so that a copied document and its label do not weigh
 more. A feature needs `least_docs` texts of the sample; for each category those whose
@@ -216,7 +216,7 @@ def train(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column],
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows are broadcast
     kinds = ", ".join(f"{y} double" for y in ys)
     texts = joined.mapInArrow(reduce, f"text long, features binary, minima binary, figures binary, {kinds}")
-    texts = written(texts.groupBy("text").agg(*[F.first(c).alias(c) for c in ("features", "minima", "figures")], *[F.avg(y).alias(y) for y in ys]), "sample")
+    texts = written(texts.groupBy("text").agg(*[F.first(c).alias(c) for c in ("features", "minima", "figures")], *[F.avg(y).alias(y) for y in ys]).orderBy(F.xxhash64("text"), "text").limit(sample), "sample")
 
     # of near copies one is kept, with the label that most of them have
     rows = sorted(texts.select("text", "minima", *ys).collect())

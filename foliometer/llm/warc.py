@@ -1,7 +1,8 @@
 """WARC archives in dictionary-compressed Zstandard files (.warc.zst).
 
 An archive begins with a skippable frame (magic 0x184D2A5D) that holds a
-Zstandard dictionary, built from the first records of that archive; then each
+Zstandard dictionary, built from the first records of that archive (trained, or made of their
+bytes where there are too few to train on); then each
 record is a frame of its own, compressed with it. So records can be read one by
 one, and an archive needs nothing beside it.
 
@@ -62,7 +63,7 @@ def record(page_id: int | None, place: str, url: str, payload: bytes | None, siz
 
 
 class Writer:
-    """One archive. The dictionary comes from the first records; a file of too few small ones has an empty one."""
+    """One archive. The dictionary is trained on the first records or, if they are too few or too small to learn from, is what they hold."""
 
     def __init__(self, path: str, level: int, dictionary_bytes: int, train_bytes: int) -> None:
         self.path, self.level, self.dictionary_bytes, self.train_bytes = path, level, dictionary_bytes, train_bytes
@@ -83,12 +84,12 @@ class Writer:
     def _begin(self) -> None:
         sample = [x[:131072] for x in self.held]
         try:
-            trained = zstandard.train_dictionary(self.dictionary_bytes, sample, level=self.level).as_bytes() if len(sample) >= 8 else b""
-        except zstandard.ZstdError:  # too little to learn from
-            trained = b""
+            trained = zstandard.train_dictionary(self.dictionary_bytes, sample, level=self.level).as_bytes()
+        except zstandard.ZstdError:  # too little to learn from: the records' own bytes, the last of them nearest
+            trained = b"".join(sample)[-self.dictionary_bytes :]
         self.file = open(self.path, "wb")
         self.file.write(struct.pack("<II", SKIPPABLE, len(trained)) + trained)
-        self.compressor = zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(trained) if trained else None, write_checksum=True)
+        self.compressor = zstandard.ZstdCompressor(level=self.level, dict_data=zstandard.ZstdCompressionDict(trained), write_checksum=True)
         for data in self.held:
             self._put(data)
         self.held = []
@@ -112,7 +113,7 @@ def read_archive(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
         if magic != SKIPPABLE:
             raise ValueError(f"{path}: no dictionary frame")
         trained = f.read(size)
-        make = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+        make = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained))
         data = b""
         while True:
             out, one = [], make.decompressobj()
@@ -154,10 +155,10 @@ def index_repeats(pages: DataFrame, least_bytes: int, folder: str) -> SortedFile
         key, check = np.array([h[0] for h in halves], np.uint64), np.array([h[1] for h in halves], np.int64)
         order = np.argsort(key)
         files.write(group.column("bucket")[0].as_py(), key=key[order], check=check[order], best=group.column("best").to_numpy()[order])
-        return pa.table({"n": [len(key)]})
+        return pa.table({"bucket": group.column("bucket").slice(0, 1).cast(pa.int64())})
 
     dealt = groups.withColumn("bucket", F.shiftright(F.conv(F.substring("digest", 1, 6), 16, 10).cast("long"), 24 - bits))
-    dealt.groupBy("bucket").applyInArrow(store, "n long").agg(F.sum("n")).collect()
+    files.seal([r[0] for r in dealt.groupBy("bucket").applyInArrow(store, "bucket long").collect()])
     return files
 
 

@@ -205,6 +205,24 @@ def test_op4_warc(spark):
     assert warc.read_archives(warc.write_archives(pages.where("false"))).count() == 0
 
 
+def test_op4_every_archive_has_a_dictionary(spark):
+    pages = spark.createDataFrame([(i, "u", f"<p>page {i} " + "alike " * 20) for i in range(5)], "page_id long, url string, html string").repartition(3)
+    manifest = warc.write_archives(pages).collect()
+    assert manifest and all(int.from_bytes(open(r["path"], "rb").read(8)[4:], "little") > 0 for r in manifest)
+
+
+def test_missing_files_are_an_error(tmp_path):
+    files = warc.SortedFiles(str(tmp_path), "x", 4, ["key", "value"])
+    keys = np.array([1, 5, 1 << 63], dtype=np.uint64)
+    files.write(0, key=keys[:2], value=np.array([7, 8]))
+    files.seal([0])
+    there, value = files.find(keys, (0,))
+    assert there.tolist() == [True, True, False] and value.tolist() == [7, 8, 0]
+    files.seal([0, 2])
+    with pytest.raises(FileNotFoundError):
+        files.find(keys, (0,))
+
+
 def test_op5_vafile(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((400, 8)).astype(np.float32)
@@ -222,6 +240,45 @@ def test_op5_vafile(spark):
     assert vafile.top_k(vectors.where("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_op6_chain_against_a_plain_solver():
+    rng = np.random.default_rng(8)
+    n = 300
+    x = rng.random((n, 6)) < 0.4
+    figures = rng.random((n, 5))
+    first = (x[:, 0] ^ (rng.random(n) < 0.1)).astype(float)
+    labels = np.stack([first, (((first > 0) & x[:, 1]) ^ (rng.random(n) < 0.1)).astype(float)], axis=1)
+    labels[:10, 0] = labels[5:20, 1] = np.nan
+    folds = np.arange(n) % 5
+    has = [np.flatnonzero(r) for r in x]
+    chain = toxicity.Chain(["a", "b"]).fit([np.arange(6, dtype=np.uint64)] * 2, [has, has], figures, labels, folds, 0.3)
+
+    def plain(rows, y):
+        """The same objective by gradient steps with a line search."""
+        a, w = np.concatenate((rows, np.ones((len(rows), 1))), axis=1), np.zeros(rows.shape[1] + 1)
+        penalty = np.append(np.full(rows.shape[1], 0.3), 1e-6)
+        loss = lambda v: np.logaddexp(0, a @ v).sum() - y @ (a @ v) + 0.5 * (penalty * v * v).sum()
+        for _ in range(4000):
+            slope = a.T @ (1 / (1 + np.exp(-a @ w)) - y) + penalty * w
+            step = 1.0
+            while loss(w - step * slope) > loss(w) - 0.5 * step * slope @ slope and step > 1e-12:
+                step /= 2
+            w = w - step * slope
+        return w
+
+    probability = lambda rows, w: 1 / (1 + np.exp(-(rows @ w[:-1] + w[-1])))
+    base, known = np.concatenate((x, figures), axis=1).astype(float), ~np.isnan(labels)
+    one = plain(base[known[:, 0]], labels[known[:, 0], 0])
+    assert np.allclose(chain.models[0][1], one, atol=1e-3)
+    # what the second model is trained with comes from models that have not seen the row
+    passed = probability(base, one)
+    for f in range(5):
+        train = known[:, 0] & (folds != f)
+        passed[folds == f] = probability(base[folds == f], plain(base[train], labels[train, 0]))
+    logit = np.log(np.clip(passed, 1e-4, 1 - 1e-4) / (1 - np.clip(passed, 1e-4, 1 - 1e-4)))
+    wide = np.concatenate((base, logit[:, None]), axis=1)
+    assert np.allclose(chain.models[1][1], plain(wide[known[:, 1]], labels[known[:, 1], 1]), atol=2e-2)
+
+
 def test_op6_chain(spark, nothing):
     rnd = np.random.default_rng(1)
     bad, rows, marks = ["grim", "vile", "nasty"], [], []
