@@ -82,12 +82,20 @@ class Template:
         self.size = self.words - self.k + 1
         self.stride = max(1, self.words // 16)
         self.rows, self.bands = rows, bands_for(len(self.shingles), self.stride, containment, rows, sure)
-        self.signature = [int(_permuted(windows(words.hash, self.k), p).min()) for p in range(self.bands * rows)]
-
-    def starts(self, n: int) -> np.ndarray:
-        """Where windows begin among n shingles: every stride, and at the end."""
-        out = np.arange(0, n - self.size + 1, self.stride)
-        return np.append(out, n - self.size) if (n - self.size) % self.stride else out
+        own = windows(words.hash, self.k)
+        least = [int(_permuted(own, p).argmin()) for p in range(self.bands * rows)]
+        self.signature = np.array([_permuted(own[x : x + 1], p)[0] for p, x in enumerate(least)], dtype=np.uint64)
+        self.anchors = np.unique(own[least])  # the shingles that the signature's values come from
+
+    def starts(self, at: np.ndarray, n: int) -> np.ndarray:
+        """Of the windows among n shingles, which begin every stride and at the end, those that hold one of the places `at`."""
+        steps = -(-self.size // self.stride) + 1
+        out = (at // self.stride * self.stride)[:, None] - np.arange(steps) * self.stride
+        out = np.where((out >= 0) & (out > at[:, None] - self.size) & (out <= n - self.size), out, -1).reshape(-1)
+        if len(at) and at[-1] >= n - self.size:
+            out = np.append(out, n - self.size)
+        out = np.unique(out)
+        return out[out >= 0]
 
 
 def _permuted(shingles: np.ndarray, number: int) -> np.ndarray:
@@ -97,42 +105,36 @@ def _permuted(shingles: np.ndarray, number: int) -> np.ndarray:
     return h
 
 
-def _window_min(h: np.ndarray, starts: np.ndarray, size: int, stride: int) -> np.ndarray:
-    """Minimum of h[s:s + size] for each start, by doubling over blocks of a stride."""
-    tail = h[-size:].min()
-    regular = starts if starts[-1] % stride == 0 else starts[:-1]
-    # whole blocks by doubling, what is left of the size by itself
-    blocks = np.minimum.reduceat(h[: len(h) // stride * stride], np.arange(0, len(h) // stride * stride, stride)) if stride > 1 else h
-    count, width, low = size // stride, 1, blocks
-    while width * 2 <= count:
-        low = np.minimum(low[: len(low) - width], low[width:])
-        width *= 2
-    first = regular // stride
-    out = np.minimum(low[first], low[first + count - width])
-    for j in range(count * stride, size):
-        out = np.minimum(out, h[regular + j])
-    return out if len(regular) == len(starts) else np.append(out, tail)
-
-
-def candidates(shingles: np.ndarray, templates: list[Template]) -> list[np.ndarray]:
-    """For each template (all of one shingle length), the starts of windows that agree with it in a band."""
+def _places(shingles: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where shingles stand that are among the sorted keys, and which."""
+    low = np.zeros(1 << 16, dtype=bool)
+    low[(keys & np.uint64(0xFFFF)).astype(np.int64)] = True
+    maybe = np.flatnonzero(low[(shingles & np.uint64(0xFFFF)).astype(np.int64)])
+    which = np.minimum(np.searchsorted(keys, shingles[maybe]), len(keys) - 1)
+    there = keys[which] == shingles[maybe]
+    return maybe[there], keys[which[there]]
+
+
+def candidates(shingles: np.ndarray, templates: list[Template], most: int = 1 << 20) -> list[np.ndarray]:
+    """For each template (all of one shingle length), the starts of windows that agree with it in a band.
+
+    A window can agree in a row only if it holds the shingle that gives the template's value there, so signatures are worked out
+    for windows that hold one of these, and for no others.
+    """
+    at, found = _places(shingles, np.unique(np.concatenate([t.anchors for t in templates])))
     short = max(t.size for t in templates) - len(shingles)
-    if len(shingles) and short > 0:  # a slice shorter than a template may still hold most of it
+    if len(at) and short > 0:  # a slice shorter than a template may still hold most of it
         shingles = np.concatenate((shingles, mix(np.arange(1, short + 1, dtype=np.uint64) ^ BASE)))
-    fit = [t for t in templates if len(shingles) >= t.size]
-    at = {t.name: t.starts(len(shingles)) for t in fit}
-    agree, found = {}, {t.name: np.zeros(len(at[t.name]), dtype=bool) for t in fit}
-    for p in range(max((t.bands * t.rows for t in fit), default=0)):
-        h, low = _permuted(shingles, p), {}
-        for t in fit:
-            if p < t.bands * t.rows:
-                if (t.size, t.stride) not in low:
-                    low[t.size, t.stride] = _window_min(h, at[t.name], t.size, t.stride)
-                same = low[t.size, t.stride] == np.uint64(t.signature[p])
-                agree[t.name] = same if p % t.rows == 0 else agree[t.name] & same
-                if p % t.rows == t.rows - 1:
-                    found[t.name] |= agree[t.name]
-    return [at[t.name][found[t.name]] if t.name in at else np.zeros(0, np.int64) for t in templates]
+    out = []
+    for t in templates:
+        starts, kept = t.starts(at[np.isin(found, t.anchors)], len(shingles)), []
+        for a in range(0, len(starts), max(1, most // t.size)):
+            part = starts[a : a + max(1, most // t.size)]
+            own = shingles[part[:, None] + np.arange(t.size)]
+            agree = np.stack([_permuted(own, p).min(axis=1) == x for p, x in enumerate(t.signature)], axis=1)
+            kept.append(part[agree.reshape(len(part), t.bands, t.rows).all(axis=2).any(axis=1)])
+        out.append(np.concatenate(kept) if kept else starts)
+    return out
 
 
 def most_specific(found: list[tuple[int, str, float, int, int]], templates: list[Template], containment: float) -> list[tuple[int, str, float, int, int]]:
