@@ -216,7 +216,10 @@ def train(docs: DataFrame, labels: DataFrame, categories: Mapping[str, Column],
     joined = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most `sample` rows are broadcast
     kinds = ", ".join(f"{y} double" for y in ys)
     texts = joined.mapInArrow(reduce, f"text long, features binary, minima binary, figures binary, {kinds}")
-    texts = written(texts.groupBy("text").agg(*[F.first(c).alias(c) for c in ("features", "minima", "figures")], *[F.avg(y).alias(y) for y in ys]).orderBy(F.xxhash64("text"), "text").limit(sample), "sample")
+    texts = written(texts.groupBy("text").agg(*[F.first(c).alias(c) for c in ("features", "minima", "figures")], *[F.avg(y).alias(y) for y in ys]), "sample")
+    if texts.count() > sample:  # doc_ids that repeat with other texts
+        few = texts.select("text").orderBy(F.xxhash64("text"), "text").limit(sample)
+        texts = written(texts.join(F.broadcast(few), "text", "left_semi"), "sample")
 
     # of near copies one is kept, with the label that most of them have
     rows = sorted(texts.select("text", "minima", *ys).collect())
