@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -29,16 +29,16 @@ def similarity_matrix(a: list[str], b: list[str], known: dict[tuple[str, str], f
     return np.array([[known[x, y] for y in b] for x in a]).reshape(len(a), len(b))
 
 
-def assign_blocks(gold: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float = 0.55) -> DataFrame:
+def assign_blocks(gold: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float = 0.55, normalize: Callable[[str], str] | None = None) -> DataFrame:
     """keys, gold_ix, pred_ix, sim of the optimal one-to-one pairs at least `threshold` alike.
 
-    gold and pred carry keys, ix and norm (the normalised text). The threshold
+    gold and pred carry keys, ix and norm (the normalised text, or what normalize makes it from). The threshold
     applies after the optimum, so pairs below it take part in it. A group is a page.
     """
 
     def run(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         a, b = a.sort_values("ix"), b.sort_values("ix")
-        s = similarity_matrix(a.norm.tolist(), b.norm.tolist())
+        s = similarity_matrix(*([normalize(t) if normalize else t for t in x.norm] for x in (a, b)))
         rows = [[*key, a.ix.iloc[i], b.ix.iloc[j], s[i, j]] for i, j in assign(s) if s[i, j] >= threshold]
         return pd.DataFrame(rows, columns=[*keys, "gold_ix", "pred_ix", "sim"])
 

@@ -280,8 +280,8 @@ Q["grits_identity_alignment"] = (lambda s, sf: grid.grits(gold_cells(s, sf), gol
 
 def table_pairing(s, sf):
     """Tables of a page of four, paired by their text; every table finds a partner."""
-    side = lambda cells: grid.tsv(cells, KEY).select(F.expr("table_id div 4").alias("page"), F.col("table_id").alias("ix"), t.normalize(F.col("tsv")).alias("norm"))
-    return alignment.assign_blocks(side(gold_cells(s, sf)), side(_pred(s, sf)), ["page"], threshold=0.0)
+    side = lambda cells: grid.tsv(cells, KEY).select(F.expr("table_id div 4").alias("page"), F.col("table_id").alias("ix"), F.col("tsv").alias("norm"))
+    return alignment.assign_blocks(side(gold_cells(s, sf)), side(_pred(s, sf)), ["page"], threshold=0.0, normalize=t.plain)
 
 
 Q["table_pairing"] = (table_pairing, None)
