@@ -8,10 +8,13 @@ smaller doc_id, or earlier in the same document.
    words get names that are the same everywhere. Names seen at least twice are
    kept, as sorted files in the shared folder.
 2. Equal windows have equal consistent interior symbols, so a window can repeat
-   only if each of its symbols does. Windows that pass are reduced in each task to
-   (hash, first place), dealt by hash, and those that start at least twice are
-   written as sorted files with their first place. The hash has 128 bits, of which 96
-   are compared.
+   only if each of its symbols of the last round does. Windows that pass are told by
+   their decomposition into symbols: as many of the last round as lie in the window,
+   beside them what is left of the rounds before, down to words. Decompositions are equal
+   just where the windows are; 96 bits of them are compared, of two names that are worked
+   out apart from the words' bytes on. Each task reduces its windows to (decomposition,
+   first place), deals them by decomposition, and those that start at least twice are written as
+   sorted files with their first place.
 3. Each document looks its windows up in those files, which are mapped and
    not read whole; a window whose first place is another one covers its words.
 
@@ -36,11 +39,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from .common import SortedFiles, bucket_edges, mapped_dir, pack, parts, release, table, text_bytes, unpack
-from .recompress import parse
-from .words import SPACED, Words, mix, slices, windows, within
+from .recompress import Parse, parse
+from .words import SPACED, Words, slices, within
 
 _NONE = np.iinfo(np.int64).min
-_SECOND = np.uint64(0x2545F4914F6CDD1D)
 
 
 def _ids(column: pa.Array) -> np.ndarray:
@@ -97,12 +99,15 @@ def _merge_windows(key: np.ndarray, check: np.ndarray, doc: np.ndarray, start: n
     return key[at], check[at], doc[at], start[at], (many + 1).astype(np.uint8)
 
 
-def _candidates(words: Words, window: int, rounds: int, repeated: SortedFiles) -> np.ndarray:
-    """Starts of the windows all of whose consistent interior symbols repeat."""
+def _symbols(words: Words, rounds: int) -> Parse:
+    return parse(words.hash, words.owner(), rounds, words.second())
+
+
+def _candidates(words: Words, window: int, symbols: Parse, repeated: SortedFiles) -> np.ndarray:
+    """Starts of the windows all of whose consistent interior symbols of the last round repeat."""
     starts = within(words, window)
     if not len(starts):
         return starts
-    symbols = parse(words.hash, words.owner(), rounds)
     lo, hi = symbols.need_lo, symbols.need_hi
     inside = hi - lo <= window
     names, lo, hi = symbols.name[inside], lo[inside], hi[inside]
@@ -119,19 +124,20 @@ def _candidates(words: Words, window: int, rounds: int, repeated: SortedFiles) -
     return starts[np.cumsum(change)[starts] == 0]
 
 
-def _keys(words: Words, window: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    key = windows(words.hash, window)[starts]
-    check = windows(mix(words.hash ^ _SECOND), window)[starts]
+def _keys(symbols: Parse, window: int, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What a window is told by: hashes of the symbols that it is made of."""
+    key, check = symbols.decompositions(starts, window)
     return key, check.astype(np.uint32)
 
 
 def covered(words: Words, docs: np.ndarray, window: int, rounds: int, repeated: SortedFiles, firsts: SortedFiles) -> np.ndarray:
     """For each word, whether a window that also starts earlier covers it."""
-    starts = _candidates(words, window, rounds, repeated)
+    symbols = _symbols(words, rounds)
+    starts = _candidates(words, window, symbols, repeated)
     out = np.zeros(len(words) + 1, dtype=np.int64)
     if len(starts):
         owner = words.owner()[starts]
-        key, check = _keys(words, window, starts)
+        key, check = _keys(symbols, window, starts)
         order = np.argsort(key)
         there, _, doc, start = firsts.find(key[order], (0, 0, 0), check[order])
         own, place = docs[owner][order], (starts - words.first[owner])[order]
@@ -143,6 +149,8 @@ def covered(words: Words, docs: np.ndarray, window: int, rounds: int, repeated:
 
 def index_repeats(docs: DataFrame, window: int, rounds: int) -> tuple[SortedFiles, SortedFiles]:
     """Files of the symbols that repeat, and of the windows that repeat with their first places."""
+    if rounds < 1:
+        raise ValueError("rounds must be at least 1")
     spark = docs.sparkSession
     folder = mapped_dir(spark, "substrings")
     buckets = parts(text_bytes(docs), 24 << 20, 8)
@@ -169,9 +177,10 @@ def index_repeats(docs: DataFrame, window: int, rounds: int) -> tuple[SortedFile
         held = _Blobs(buckets, _merge_windows, 750_000)
         for batch in slices(batches):
             words = Words(batch.column("text"), SPACED, lower=False)
-            starts = _candidates(words, window, rounds, repeated)
+            symbols = _symbols(words, rounds)
+            starts = _candidates(words, window, symbols, repeated)
             owner = words.owner()[starts]
-            key, check = _keys(words, window, starts)
+            key, check = _keys(symbols, window, starts)
             yield from held.add(key, check, _ids(batch.column("doc_id"))[owner], (starts - words.first[owner]).astype(np.int32), np.ones(len(key), dtype=np.uint8))
         yield from held.flush()
 

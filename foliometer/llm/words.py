@@ -30,6 +30,7 @@ ALNUM[0x80:] = True
 
 _MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], dtype=np.uint64)
 _C1, _C2, _C3 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
+_C4, _C5 = np.uint64(0xA24BAED4963EE407), np.uint64(0x9FB21C651E98DF25)
 BASE = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -99,6 +100,18 @@ class Words:
             self._hash = h
         return self._hash
 
+    def second(self) -> np.ndarray:
+        """Another 64-bit hash of each word's bytes, worked out from the bytes and not from the first."""
+        at8 = np.ndarray(shape=(self.size + 8,), dtype="<u8", buffer=self._padded, strides=(1,))
+        length = self.end - self.start
+        h = mix(length.astype(np.uint64) * _C4 + (at8[self.start] & _MASK[np.minimum(length, 8)]) * _C5)
+        rest, done = np.flatnonzero(length > 8), 8
+        while len(rest):
+            h[rest] = mix((h[rest] ^ _C4) * _C5 + (at8[self.start[rest] + done] & _MASK[np.minimum(length[rest] - done, 8)]))
+            done += 8
+            rest = rest[length[rest] > done]
+        return h
+
     def heads(self) -> np.ndarray:
         """The first eight bytes of each word as a number; zeros after a shorter one."""
         at8 = np.ndarray(shape=(self.size + 8,), dtype="<u8", buffer=self._padded, strides=(1,))

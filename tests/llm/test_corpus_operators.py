@@ -371,6 +371,41 @@ def brute_repeats(pairs, window):
     return out
 
 
+@pytest.mark.parametrize("rounds", [1, 2, 4, 6])
+def test_decompositions_are_equal_just_where_windows_are(rounds):
+    rng = np.random.default_rng(rounds)
+    words = rng.integers(0, 3, 600)
+    words[200:300], words[420:450], words[500:540] = words[50:150], words[100:130], 1
+    text = np.repeat([0, 1, 2], [180, 250, 170])
+    names = np.array([11, 5 << 40, 77 << 20], dtype=np.uint64)[words]
+    p = parse(names, text, rounds, names * np.uint64(0x9FB21C651E98DF25))
+    for size in (2, 7, 20):
+        starts = np.flatnonzero(text[: 601 - size] == text[size - 1 :])
+        for got in p.decompositions(starts, size):
+            told = defaultdict(set)
+            for s, g in zip(starts, got.tolist(), strict=True):
+                told[g].add(tuple(words[s : s + size]))
+            assert all(len(v) == 1 for v in told.values()) and len(told) == len({tuple(words[s : s + size]) for s in starts})
+    # two words of one first name are told apart by the second
+    alike = parse(np.full(40, 9, np.uint64), np.zeros(40, np.int64), rounds, np.arange(40, dtype=np.uint64) ** 3)
+    a, b = alike.decompositions(np.arange(21), 20)
+    assert len(set(a.tolist())) == 1 and len(set(b.tolist())) == 21
+
+
+def test_second_names_tell_words_apart(texts):
+    w = Words(pa.array(texts), SPACED, lower=False)
+    first, second = defaultdict(set), defaultdict(set)
+    for k, (a, b) in enumerate(zip(w.hash.tolist(), w.second().tolist(), strict=True)):
+        first[w.text(k)].add((a, b))
+        second[b].add(w.text(k))
+    assert all(len(v) == 1 for v in first.values()) and all(len(v) == 1 for v in second.values())
+
+
+def test_op8_needs_rounds(docs):
+    with pytest.raises(ValueError):
+        substrings.remove_repeats(docs, rounds=0)
+
+
 @pytest.mark.parametrize("window", [5, 20])
 def test_op8_substrings(docs, pairs, nothing, window):
     want = brute_repeats(pairs, window)
