@@ -36,6 +36,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import SortedFiles, bucket_edges, mapped_dir, pack, parts, release, table, text_bytes, unpack
@@ -75,7 +76,7 @@ class _Blobs:
             edge = bucket_edges(arrays[0], self.buckets)
             full = np.flatnonzero(np.diff(edge))
             blobs = [pack(*(np.ascontiguousarray(a[edge[b] : edge[b + 1]]) for a in arrays)) for b in full]
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
         self.held, self.size = [], 0
 
 
@@ -193,7 +194,9 @@ def index_repeats(docs: DataFrame, window: int, rounds: int) -> tuple[SortedFile
 
     source = docs.select("doc_id", "text")
     for dealt, kept, files in ((name, keep_names, repeated), (place, keep_windows, firsts)):
-        done = source.mapInArrow(dealt, "bucket long, blob binary").groupBy("bucket").applyInArrow(kept, "bucket long")
+        # a partition for each range, so that what a task reads doesn't grow with the input
+        ranges = source.mapInArrow(dealt, "bucket int, blob binary").repartitionById(buckets, F.col("bucket"))
+        done = ranges.groupBy("bucket").applyInArrow(kept, "bucket int")
         files.seal([r[0] for r in done.collect()])  # a number for each range
         del done
         release(spark)
