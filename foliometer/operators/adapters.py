@@ -21,16 +21,19 @@ def map_types(raw: Column) -> Column:
     return out
 
 
+def _spans(block: Column) -> Column:
+    """All spans of a block's lines; lines without any are passed over."""
+    return F.flatten(F.filter(F.transform(block["lines"], lambda line: line["spans"]), lambda s: s.isNotNull()))
+
+
 def collect_text(block: Column) -> Column:
     """The content of all spans, in order, joined by spaces."""
-    spans = F.flatten(F.transform(block["lines"], lambda line: line["spans"]))
-    return F.array_join(F.filter(F.transform(spans, lambda s: s["content"]), lambda c: c.isNotNull() & (c != "")), " ")
+    return F.coalesce(F.array_join(F.filter(F.transform(_spans(block), lambda s: s["content"]), lambda c: c.isNotNull() & (c != "")), " "), F.lit(""))
 
 
 def find_html(block: Column) -> Column:
     """The first span's html that holds a tag of a table."""
-    spans = F.flatten(F.transform(block["lines"], lambda line: line["spans"]))
-    return F.try_element_at(F.filter(F.transform(spans, lambda s: s["html"]), lambda h: h.contains("<t")), F.lit(1))
+    return F.try_element_at(F.filter(F.transform(_spans(block), lambda s: s["html"]), lambda h: h.contains("<t")), F.lit(1))
 
 
 def bbox_of(block: Column) -> Column:

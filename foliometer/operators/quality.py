@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 TYPES = ("title", "heading", "banner", "paragraph", "caption", "footnote", "list", "table", "chart", "figure", "header", "footer")
 
+TRACKS = ("text", "structure", "table", "chart_data", "furniture", "cell_style")
+
 
 def _hits(df: DataFrame, rule: str, where, detail=None) -> DataFrame:
     return df.where(where).select("page_id", F.lit(rule).alias("rule"), (F.lit("") if detail is None else detail.cast("string")).alias("detail"))
@@ -31,6 +33,36 @@ def violations(blocks: DataFrame, width: float, height: float) -> DataFrame:
     return reduce(DataFrame.unionByName, rules)
 
 
+def payload_violations(blocks: DataFrame) -> DataFrame:
+    """blocks: page_id, id, type, tracks, items (texts, or null), has_chart, has_figure; no shuffle."""
+    strange = F.filter("tracks", lambda x: ~x.isin(*TRACKS))
+    rules = [
+        _hits(blocks, "unknown_track", F.size(strange) > 0, F.col("id")),
+        _hits(blocks, "list_without_items", (F.col("type") == "list") & (F.coalesce(F.size("items"), F.lit(0)) < 1), F.col("id")),
+        _hits(blocks, "chart_payload", (F.col("type") == "chart") & ~F.coalesce("has_chart", F.lit(False)), F.col("id")),
+        _hits(blocks, "figure_payload", (F.col("type") == "figure") & ~F.coalesce("has_figure", F.lit(False)), F.col("id")),
+    ]
+    return reduce(DataFrame.unionByName, rules)
+
+
+def page_violations(pages: DataFrame, blocks: DataFrame, tracks: DataFrame) -> DataFrame:
+    """Rules on whole pages: their order of ids, and what they say of each track.
+
+    pages: page_id, reading_order (ids); blocks: page_id, block_ix, id, tracks;
+    tracks: page_id, track, applicable, n_blocks (null: not stated).
+    """
+    ids = blocks.groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("block_ix", "id"))), lambda x: x["id"]).alias("ids"))
+    order = pages.join(ids, "page_id", "left").where(~F.col("reading_order").eqNullSafe(F.coalesce("ids", F.array().cast("array<string>"))))
+    actual = blocks.select("page_id", F.explode(F.array_distinct("tracks")).alias("track")).groupBy("page_id", "track").agg(F.count("*").alias("actual"))
+    told = tracks.join(actual, ["page_id", "track"], "left").withColumn("actual", F.coalesce("actual", F.lit(0)))
+    rules = [
+        _hits(order, "page_reading_order", F.lit(True)),
+        _hits(tracks, "page_track", ~F.col("track").isin(*TRACKS), F.col("track")),
+        _hits(told, "track_blocks", F.coalesce("applicable", F.lit(False)) & F.col("n_blocks").isNotNull() & (F.col("n_blocks") != F.col("actual")), F.col("track")),
+    ]
+    return reduce(DataFrame.unionByName, rules)
+
+
 def summary(found: DataFrame) -> DataFrame:
     return found.groupBy("rule").agg(F.count("*").alias("n"), F.countDistinct("page_id").alias("n_pages"))
 

@@ -13,9 +13,9 @@ BLOCK = f"struct<id:string,type:string,reading_order:int,text:string,bbox:array<
 PAGE = f"page_id string, parser struct<name:string,version:string>, page struct<width_pt:double,height_pt:double,orientation:string>, reading_order array<string>, blocks array<{BLOCK}>"
 
 
-def scan_pages(spark: SparkSession, path: str, run: str | None = None) -> DataFrame:
-    """One row per JSON file of a folder, with its file name and the run's name; the schema is given, not inferred."""
-    pages = spark.read.schema(PAGE).option("multiLine", True).json(path, pathGlobFilter="*.json")
+def scan_pages(spark: SparkSession, path: str, run: str | None = None, lines: bool = False) -> DataFrame:
+    """One row per JSON file of a folder, or per line of its files, with the file name and the run's name; the schema is given, not inferred."""
+    pages = spark.read.schema(PAGE).option("multiLine", not lines).json(path, pathGlobFilter="*.json")
     pages = pages.select("*", F.col("_metadata.file_name").alias("file_name"))
     return pages if run is None else pages.withColumn("run", F.lit(run))
 

@@ -6,21 +6,25 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, tag: str) -> DataFrame:
-    """df, computed once and read back from Parquet under spark.checkpoint.dir, which cuts its lineage.
+def shared_path(spark: SparkSession, tag: str) -> str:
+    """A new folder under spark.checkpoint.dir.
 
     Where that setting is empty (a session of tests, on one machine) a folder of the machine is taken; a cluster has to name one.
     """
-    spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{os.path.join(tempfile.gettempdir(), 'checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    path, schema = f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}", df.schema
+    return f"{base.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """df, computed once and read back from Parquet in a shared folder, which cuts its lineage."""
+    path, schema = shared_path(df.sparkSession, tag), df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    return df.sparkSession.read.schema(schema).parquet(path)

@@ -9,9 +9,9 @@ from pyspark.sql.streaming import StreamingQuery
 from ..sources import ir
 
 
-def page_stream(spark: SparkSession, path: str) -> DataFrame:
-    """Pages of a folder as a stream, with the time each file was changed."""
-    pages = spark.readStream.schema(ir.PAGE).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+def page_stream(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Pages of a folder as a stream, one per file or per line, with the time each file was changed."""
+    pages = spark.readStream.schema(ir.PAGE).option("multiLine", not lines).option("pathGlobFilter", "*.json").json(path)
     return pages.select("*", F.col("_metadata.file_modification_time").alias("arrived"))
 
 
