@@ -81,3 +81,9 @@ def test_align():
         got = kernels.align(4, 4, lambda i, j, s=s: s[i, j], 0.35)
         best = max(sum(s[i, j] for i, j in zip(a, b, strict=True) if s[i, j] >= 0.35) for k in range(5) for a in itertools.combinations(range(4), k) for b in itertools.combinations(range(4), k))
         assert sum(s[i, j] for i, j in got) == pytest.approx(best)
+
+
+def test_fmt3_rounds_the_exact_value(spark):
+    values = [0.0625, 0.1875, 25.0625, -48574.8125, 1.0005, 2.0005, -0.0001, 83760850404204.62, 1e23, float("inf"), None]
+    got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", t.fmt3(F.col("v")).alias("out")).collect()
+    assert [r["out"] for r in sorted(got, key=lambda r: r["i"])] == ["—" if v is None else f"{v:.3f}" for v in values]
