@@ -5,8 +5,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from foliometer.functions.kernels import align, align_texts, assign, common_length, ratio
+from foliometer.functions.kernels import align, align_texts, assign, common_length, common_lengths, ratio
 from foliometer.operators import alignment
+from foliometer.plans import tables
 from foliometer.plans.fixtures import gold_cells, gold_tables
 
 SF = "/root/testdata/sf0.001"
@@ -51,3 +52,40 @@ def test_tables_are_the_cells(spark):
     cells = gold_cells(spark, SF)
     built = gold_tables(spark, SF).select("table_id", F.inline("cells")).select(*cells.columns)
     assert cells.exceptAll(built).count() == 0 == built.exceptAll(cells).count()
+
+
+def noisy_copy(rng, text):
+    out = [rng.choice("abcdefgh é") if rng.random() < 0.03 else c for c in text]
+    if rng.random() < 0.5:
+        del out[rng.randrange(len(out))]
+    return "".join(out)
+
+
+def test_common_lengths_are_those_of_single_pairs():
+    rng = random.Random(4)
+    a = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(24, 900))) for _ in range(120)]
+    pairs = [(x, noisy_copy(rng, x)) for x in a] + [(x, noisy_copy(rng, x[40:] + x[:40])) for x in a[:40]] + [("", "a"), ("ab" * 30, "ba" * 30)] * 5
+    assert common_lengths(pairs) == [common_length(x, y) for x, y in pairs]
+
+
+def test_pages_are_paired_as_each_alone(spark):
+    rng = random.Random(5)
+    pages = []
+    for _ in range(60):
+        a = ["".join(rng.choice("abcdefgh ") for _ in range(rng.randint(0, 60))) for _ in range(rng.randint(1, 7))]
+        b = [noisy_copy(rng, x) if x else x for x in a]
+        rng.shuffle(b)
+        pages.append((a, b[: rng.randint(1, len(b))] if rng.random() < 0.5 else b))
+    for (a, b), got in zip(pages, alignment.pair_pages(pages), strict=True):
+        s = alignment.similarity_matrix(a, b)
+        assert abs(sum(sim for *_, sim in got) - sum(s[i, j] for i, j in assign(s))) < 1e-6 and all(sim == s[i, j] for i, j, sim in got)
+    rows = [(k, list(range(len(a))), a, [10 + j for j in range(len(b))], b) for k, (a, b) in enumerate(pages)]
+    got = alignment.assign_pages(spark.createDataFrame(rows, "k int, g_ix array<long>, g array<string>, p_ix array<long>, p array<string>"), ["k"], 0.5).collect()
+    want = {(k, i, 10 + j) for k, found in enumerate(alignment.pair_pages(pages, 0.5)) for i, j, _ in found}
+    assert {(r["k"], r["gold_ix"], r["pred_ix"]) for r in got} == want
+
+
+def test_table_pairing_reads_items_once(spark):
+    """A row of a cell each went through windows and shuffles before."""
+    plan = tables.table_pairing(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "CoGroup" not in plan.replace("FlatMapCoGroups", "CoGroup")
