@@ -1,6 +1,8 @@
 """The shorter ways of pairing, aligning and building tables, against the plain ones."""
 
+import itertools
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -89,3 +91,15 @@ def test_table_pairing_reads_items_once(spark):
     """A row of a cell each went through windows and shuffles before."""
     plan = tables.table_pairing(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Window" not in plan and "CoGroup" not in plan.replace("FlatMapCoGroups", "CoGroup")
+
+
+def test_assignment_of_a_large_page_is_quick_and_best():
+    rng = np.random.default_rng(6)
+    for n, m in ((4, 4), (3, 5), (5, 3), (6, 6)):
+        for _ in range(40):
+            s = np.round(rng.random((n, m)), 1)
+            best = max(sum(s[i, j] if n <= m else s[j, i] for i, j in enumerate(p)) for p in itertools.permutations(range(max(n, m)), min(n, m)))
+            assert abs(sum(s[i, j] for i, j in assign(s)) - best) < 1e-6
+    s = rng.random((900, 900)) * 0.5 + np.eye(900) * 0.5
+    began = time.process_time()
+    assert assign(s) == [(i, i) for i in range(900)] and time.process_time() - began < 1.0
