@@ -87,3 +87,32 @@ def test_fmt3_rounds_the_exact_value(spark):
     values = [0.0625, 0.1875, 25.0625, -48574.8125, 1.0005, 2.0005, -0.0001, 83760850404204.62, 1e23, float("inf"), None]
     got = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", t.fmt3(F.col("v")).alias("out")).collect()
     assert [r["out"] for r in sorted(got, key=lambda r: r["i"])] == ["—" if v is None else f"{v:.3f}" for v in values]
+
+
+def test_distances_by_pieces():
+    import random
+
+    draw, pairs = random.Random(3), []
+    for _ in range(400):
+        words = ["".join(draw.choices("abcdefgh", k=draw.randint(2, 7))) for _ in range(draw.choice([2, 8, 60]))]
+        x = " ".join(draw.choices(words, k=draw.randint(14, 120)))
+        y = list(x)
+        for _ in range(draw.choice([0, 1, 2, 5, 12, 30])):
+            k, n = draw.choice([0, len(y) - 1, draw.randrange(len(y))]), draw.randint(1, 12)
+            y[k : k + draw.choice([0, 1, 1, 1, n])] = draw.choices("abc é", k=draw.choice([0, 1, 1, 1, n])) or ["z"]
+        pairs.append((x, "".join(y)))
+    assert kernels.edit_distances(pairs) == [kernels.edit_distance(*p) for p in pairs]
+    long = [p for p in pairs if min(map(len, p)) >= 64]
+    assert [(len(a) + len(b) - n) // 2 for (a, b), n in zip(long, kernels._by_pieces(long, True), strict=True)] == [kernels.common_length(*p) for p in long]
+
+
+def test_long_noisy_texts_take_little_time():
+    import random
+    import time
+
+    draw = random.Random(4)
+    x = "".join(draw.choices("abcdefghij klmno", k=200_000))
+    y = "".join(draw.choice("xyz") if draw.random() < 0.02 else c for c in x)
+    began = time.process_time()
+    assert kernels.edit_distances([(x, y)])[0] <= sum(a != b for a, b in zip(x, y, strict=True))
+    assert time.process_time() - began < 8  # bit-parallel over the whole of it takes several times that

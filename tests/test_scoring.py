@@ -91,3 +91,13 @@ def test_tables_and_charts(spark):
     c = chart["r"]
     assert (c["labels_precision"], c["labels_recall"], c["missed"], c["spurious"]) == (0.5, pytest.approx(1 / 3), ["beta", "gamma"], ["delta"])
     assert (c["count"], c["histogram"], c["axes"]) == (0.5, 0.5, 0.5) and c["score"] == pytest.approx(0.55 * 0.4 + 0.15 * 1.5) and chart["none"]["score"] == 0
+
+
+def test_only_what_is_wanted_is_compared(spark):
+    """cer_aligned is worked out for the runs that want it, and the rest of the text track does not depend on it."""
+    rows = [{"run": r, **b} for r, blocks in PRED.items() for b in page(blocks)]
+    sides = scoring.with_texts(spark.createDataFrame(page(GOLD), COLUMNS), coarse), scoring.with_texts(spark.createDataFrame(rows, "run string, " + COLUMNS), coarse)
+    texts = scoring.page_texts(*sides, spark.createDataFrame([(r, 1) for r in PRED], "run string, doc_id long"))
+    every, some, none = ({r["run"]: r.asDict() for r in scoring.page_scores(texts, None, None, ["text", *more])["text"].collect()} for more in (["aligned"], ["aligned:swapped"], []))
+    assert some["swapped"] == every["swapped"] and some["lossy"]["cer_aligned"] is None and "cer_aligned" not in none["lossy"]
+    assert all(x[r]["cer"] == every[r]["cer"] and x[r]["score"] == every[r]["score"] for x in (some, none) for r in PRED)
