@@ -7,6 +7,7 @@ import time
 import numpy as np
 from pyspark.sql import functions as F
 
+from foliometer.functions import kernels
 from foliometer.functions.kernels import align, align_texts, assign, common_length, common_lengths, ratio
 from foliometer.operators import alignment
 from foliometer.plans import tables
@@ -103,3 +104,19 @@ def test_assignment_of_a_large_page_is_quick_and_best():
     s = rng.random((900, 900)) * 0.5 + np.eye(900) * 0.5
     began = time.process_time()
     assert assign(s) == [(i, i) for i in range(900)] and time.process_time() - began < 1.0
+
+
+def test_columns_are_those_of_the_shorter_text(monkeypatch):
+    """Merged paragraphs: many lines are compared with one long text, whose masks are made once, and a step is taken for each character of the line."""
+    made, masks = [], kernels._masks
+    monkeypatch.setattr(kernels, "_masks", lambda a: made.append(len(a)) or masks(a))
+    r = random.Random(5)
+    words = ["".join(r.choice("abcdefgh") for _ in range(r.randint(2, 8))) for _ in range(200)]
+    line = lambda n: " ".join(r.choice(words) for _ in range(n))
+    lines, merged = [line(12) + "?" for _ in range(40)], line(150)
+    got = common_lengths([(x, merged) for x in lines])
+    assert made == [len(merged)]
+    assert got == [common_length(x, merged) for x in lines] == [common_length(merged, x) for x in lines]
+    made.clear()
+    kernels.edit_distance(merged, "?" + lines[0]), kernels.edit_distance("?" + lines[0], merged)
+    assert made == [len(merged)] * 2
