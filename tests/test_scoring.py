@@ -101,3 +101,26 @@ def test_only_what_is_wanted_is_compared(spark):
     every, some, none = ({r["run"]: r.asDict() for r in scoring.page_scores(texts, None, None, ["text", *more])["text"].collect()} for more in (["aligned"], ["aligned:swapped"], []))
     assert some["swapped"] == every["swapped"] and some["lossy"]["cer_aligned"] is None and "cer_aligned" not in none["lossy"]
     assert all(x[r]["cer"] == every[r]["cer"] and x[r]["score"] == every[r]["score"] for x in (some, none) for r in PRED)
+
+
+def test_a_line_that_repeats_the_footer_does_not_take_its_place(spark):
+    """Its text was paired with the footer, as it stood closer to the diagonal, and the footer's text counted as one too many."""
+    end = "page 7 of the report"
+    gold = page([("heading", "A title"), ("paragraph", "first words stand here"), ("paragraph", end), ("footer", end)])
+    pred = {"merged": [("heading", "A title"), ("paragraph", "first words stand here " + end), ("footer", end)], "moved": [("footer", end), ("heading", "A title"), ("paragraph", end), ("paragraph", "first words stand here")]}
+    rows = [{"run": r, **b} for r, blocks in pred.items() for b in page(blocks)]
+    sides = spark.createDataFrame(gold, COLUMNS), spark.createDataFrame(rows, "run string, " + COLUMNS)
+    got = scoring.pair_blocks(*(scoring.with_texts(x, coarse) for x in sides)).collect()
+    assert {(r["run"], r["pred_ix"]) for r in got if r["gold_ix"] == 3} == {("merged", 2), ("moved", 0)}
+    by = scoring.track_scores(*sides, spark.createDataFrame([(r, 1) for r in pred], "run string, doc_id long"), coarse)
+    assert {r["run"]: r["score"] for r in by["text"].collect()}["merged"] == 1.0
+
+
+def test_table_and_chart_stand_below_a_page_of_many_lines(spark, tmp_path):
+    """From 416 lines on the table, and from 500 on the chart, came before the last lines from top to bottom."""
+    text = chr(10).join(f"line {k}" for k in range(650))
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    tables = spark.createDataFrame([(1, "a")], "doc_id long, body string")
+    pages = scored.gold_pages(spark, str(tmp_path), tables, spark.createDataFrame([(1,)], "doc_id long"))
+    got = pages.select("blocks", scored.predicted_blocks("y_sorted").alias("p")).first()
+    assert len(got["p"]) == 652 and [x["text"] for x in got["p"]] == [x["text"] for x in got["blocks"]]
