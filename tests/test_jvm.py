@@ -66,3 +66,14 @@ def test_no_page_waits_for_python(spark):
     texts = scored._texts(scored.gold_pages(spark, sf, *frames), scored.RUNS)
     plan = scoring._measured(texts, [*scoring.ALL])._jdf.queryExecution().executedPlan().toString()
     assert "EvalPython" not in plan and "MapInPandas" not in plan
+
+
+def test_runs_that_read_the_same_are_scored_once(spark):
+    """Six of ten runs have the texts of gold as they are, and six its tables; each was laid out and compared for itself."""
+    assert scored._readings(scored.RUNS, scored.IN_TEXTS)["perfect"] == [r for r in scored.RUNS if r not in scored.IN_TEXTS]
+    sf = "/root/testdata/sf0.001"
+    by = scored.scored(spark, sf, ["dropped_na_cells", "merged_paragraphs", "perfect"], ("text", "tables", "table"))
+    alone = {r: scored.scored(spark, sf, [r], ("text", "tables", "table")) for r in ("dropped_na_cells", "merged_paragraphs", "perfect")}
+    for name in ("text", "tables", "table"):
+        want = [str(x) for r in alone for x in alone[r][name].select(*by[name].columns).collect()]
+        assert sorted(want) == sorted(str(x) for x in by[name].collect())
